@@ -63,62 +63,88 @@ STRICT = Similarity(
 
 
 def signatures(items: DataFrame, rule: Similarity) -> DataFrame:
-    """One row per distinct token set: tokens rarest first with their weights, and the prefix that has to be joined."""
+    """One row per distinct token set: tokens rarest first with their weights, and its two prefixes.
+
+    Similar sets share ``least`` tokens or more, so the rarest shared one is in the ``index`` prefix of both. With a weight
+    share it is also where the smaller set still has that share of its weight ahead: the shorter ``probe`` prefix.
+    """
     sets = items.groupBy("sig").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     exploded = sets.select("sig", "n", F.explode("tokens").alias("term"))
     df = exploded.groupBy("term").agg(F.sum("n").alias("df"))
     total = items.agg(F.greatest(F.count(F.lit(1)), F.lit(2)).alias("total"))
-    weighted = (
+    ranked = (
         exploded.join(df, "term")
         .groupBy("sig")
         .agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("ranked"))
         .crossJoin(F.broadcast(total))  # one row
     )
-    size = F.size("ranked")
-    least = F.greatest(F.lit(rule.min_shared), F.ceil(size * F.lit(rule.jaccard) - _TOLERANCE) if rule.jaccard else F.lit(rule.min_shared))
-    return weighted.select(
+    weighted = ranked.select(
         "sig",
         F.transform("ranked", lambda r: r["term"]).alias("tokens"),
         F.transform("ranked", lambda r: F.log(F.col("total") / r["df"])).alias("weights"),
-        F.slice(F.transform("ranked", lambda r: r["term"]), F.lit(1), F.greatest(size - least + 1, F.lit(1)).cast("int")).alias("prefix"),
     ).withColumn("weight", F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w))
-
-
-def similar_pairs(left: DataFrame, right: DataFrame, rule: Similarity) -> DataFrame:
-    """Similar signature pairs ``(sig, other)`` with their overlap; ``left`` and ``right`` come from ``signatures``.
-
-    Two sets that meet the threshold share a token of both prefixes. A pair is produced once, at the first such token.
-    """
-
-    def postings(df: DataFrame, side: str) -> DataFrame:
-        return df.select(
-            F.explode("prefix").alias("term"), *[F.col(c).alias(f"{side}_{c}") for c in ("sig", "tokens", "weights", "prefix", "weight")]
-        )
-
-    first_common = F.try_element_at(F.array_intersect("l_prefix", "r_prefix"), F.lit(1))
-    sizes = F.size("l_tokens"), F.size("r_tokens")
-    close_enough = F.lit(True)
+    size = F.size("tokens")
+    least = F.lit(rule.min_shared)
     if rule.jaccard:
-        close_enough = F.least(*sizes) >= F.greatest(*sizes) * rule.jaccard - _TOLERANCE
-    shared = F.array_intersect("l_tokens", "r_tokens")
+        least = F.greatest(least, F.ceil(size * F.lit(rule.jaccard) - _TOLERANCE))
+    out = weighted.withColumn("index", F.slice("tokens", F.lit(1), F.greatest(size - least + 1, F.lit(1)).cast("int")))
+    if not rule.weight_share:
+        return out.withColumn("probe", F.col("index")).withColumn("rank", size.cast("double"))
+    ahead = F.aggregate(
+        "weights",
+        F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("used")),
+        lambda acc, w: F.struct(
+            (acc["n"] + F.when(F.col("weight") - acc["used"] >= rule.weight_share * F.col("weight") - _TOLERANCE, 1).otherwise(0)).alias("n"),
+            (acc["used"] + w).alias("used"),
+        ),
+    )["n"]
+    return out.withColumn("probe", F.slice("index", F.lit(1), F.greatest(ahead, F.lit(1)))).withColumn("rank", F.col("weight"))
+
+
+def _directed(probe: DataFrame, index: DataFrame, rule: Similarity) -> DataFrame:
+    """Pairs whose first set is the smaller one, each produced once, at their rarest common token."""
+
+    def postings(df: DataFrame, prefix: str, side: str, *columns: str) -> DataFrame:
+        return df.select(F.explode(prefix).alias("term"), *[F.col(c).alias(f"{side}_{c}") for c in ("sig", "tokens", "rank", "weight", *columns)])
+
+    sizes = F.size("p_tokens"), F.size("i_tokens")
+    fits = F.struct("p_rank", "p_sig") < F.struct("i_rank", "i_sig")
+    if rule.jaccard:
+        fits = fits & (sizes[0] >= sizes[1] * rule.jaccard - _TOLERANCE)
     overlaps = (
-        postings(left, "l")
-        .join(postings(right, "r"), "term")
-        .where((F.col("l_sig") != F.col("r_sig")) & close_enough & (F.col("term") == first_common))
-        .withColumn("common", shared)
-        .where(F.size("common") >= rule.min_shared)
+        postings(probe, "probe", "p", "weights")
+        .join(postings(index, "index", "i"), "term")
+        .where(fits)
+        .withColumn("common", F.array_intersect("p_tokens", "i_tokens"))
+        .where((F.size("common") >= rule.min_shared) & (F.try_element_at("common", F.lit(1)) == F.col("term")))
     )
-    weighed = F.filter(F.arrays_zip("l_tokens", "l_weights"), lambda z: F.array_contains("common", z["l_tokens"]))
+    weighed = F.filter(F.arrays_zip("p_tokens", "p_weights"), lambda z: F.array_contains("common", z["p_tokens"]))
     return overlaps.select(
-        F.col("l_sig").alias("sig"),
-        F.col("r_sig").alias("other"),
+        F.col("p_sig").alias("sig"),
+        F.col("i_sig").alias("other"),
         F.size("common").alias("shared"),
         (sizes[0] + sizes[1] - F.size("common")).alias("united"),
-        F.aggregate(weighed, F.lit(0.0), lambda acc, z: acc + z["l_weights"]).alias("weight_shared"),
-        F.least("l_weight", "r_weight").alias("weight_smaller"),
+        F.aggregate(weighed, F.lit(0.0), lambda acc, z: acc + z["p_weights"]).alias("weight_shared"),
+        F.least("p_weight", "i_weight").alias("weight_smaller"),
     ).where(_meets(rule))
 
 
+def _mirrored(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("other").alias("sig"), F.col("sig").alias("other"), "shared", "united", "weight_shared", "weight_smaller")
+
+
+def similar_pairs(sigs: DataFrame, rule: Similarity) -> DataFrame:
+    """Similar pairs of distinct signatures, in both directions, and every signature with itself."""
+    once = cut_lineage(_directed(sigs, sigs, rule))
+    return once.unionByName(_mirrored(once)).unionByName(_self_pairs(sigs))
+
+
+def similar_to(leaders: DataFrame, sigs: DataFrame, rule: Similarity) -> DataFrame:
+    """(leader signature, similar signature) pairs; only leaders are compared, so look-alikes never meet each other."""
+    ahead = cut_lineage(_directed(leaders, sigs, rule).unionByName(_mirrored(_directed(sigs, leaders, rule))))
+    return ahead.unionByName(_self_pairs(leaders))
+
+
 def _meets(rule: Similarity) -> Column:
     test = F.col("shared") >= rule.min_shared
     if rule.jaccard:
@@ -161,7 +187,7 @@ def _covered(items: DataFrame, leaders: DataFrame, pairs: DataFrame, rule: Simil
 
 
 def _decide(batch: DataFrame, pairs: DataFrame, rule: Similarity) -> DataFrame:
-    """Leaders of a batch: rounds over one summary row per signature and time bucket."""
+    """Leaders of a batch: rounds over one summary row per signature and time bucket, one written table per round."""
     undecided, found = batch, []
     while not undecided.isEmpty():
         summary = undecided.groupBy("sig", "bucket").agg(F.min(F.struct("o", "t")).alias("first"), F.max("t").alias("last_t"))
@@ -175,20 +201,23 @@ def _decide(batch: DataFrame, pairs: DataFrame, rule: Similarity) -> DataFrame:
             )
         rivals = rivals.groupBy("sig", "bucket").agg(F.min("same_o").alias("same_o"), F.max("next_t").alias("next_t"))
         blocked = (F.col("same_o") < F.col("o")) | (F.col("t") - F.col("next_t") <= _window_us(rule))
-        leaders = cut_lineage(
+        leaders = (
             summary.join(rivals, ["sig", "bucket"], "left")
             .where(~F.coalesce(blocked, F.lit(False)))
             .select("sig", "bucket", "o", "t")
         )
-        found.append(leaders)
-        decided = _covered(undecided, leaders, pairs, rule).unionByName(leaders.select("o"))
-        undecided = cut_lineage(undecided.join(decided, "o", "left_anti"))
+        left = undecided.join(_covered(undecided, leaders, pairs, rule), "o", "left_anti")
+        state = cut_lineage(left.join(leaders.select("o", F.lit(True).alias("leads")), "o", "left"))
+        found.append(state.where(F.col("leads")).select("sig", "bucket", "o", "t"))
+        undecided = state.where(F.col("leads").isNull()).drop("leads")
     return reduce(DataFrame.unionByName, found)
 
 
 def _candidate_pairs(sigs: DataFrame) -> int:
-    per_term = sigs.select(F.explode("prefix").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"))
-    return int(per_term.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0)
+    probes = sigs.select(F.explode("probe").alias("term"), F.lit(1).alias("p"), F.lit(0).alias("i"))
+    entries = sigs.select(F.explode("index").alias("term"), F.lit(0).alias("p"), F.lit(1).alias("i"))
+    per_term = probes.unionByName(entries).groupBy("term").agg(F.sum("p").alias("p"), F.sum("i").alias("i"))
+    return int(per_term.agg(F.sum(F.col("p") * F.col("i"))).first()[0] or 0)
 
 
 def similar_leaders(items: DataFrame, rule: Similarity = LOOSE, pair_budget: int = 2_000_000_000) -> DataFrame:
@@ -207,7 +236,7 @@ def similar_leaders(items: DataFrame, rule: Similarity = LOOSE, pair_budget: int
     found, pairs, whole = [], None, True
     while True:
         batch, batch_sigs, complete = _affordable(undecided, sigs, pair_budget)
-        pairs = cut_lineage(similar_pairs(batch_sigs, batch_sigs, rule).unionByName(_self_pairs(batch_sigs)))
+        pairs = similar_pairs(batch_sigs, rule)
         leaders = _decide(batch, pairs, rule)
         found.append(leaders)
         if complete:
@@ -218,14 +247,14 @@ def similar_leaders(items: DataFrame, rule: Similarity = LOOSE, pair_budget: int
         undecided = cut_lineage(rest.join(_covered(rest, leaders, reach, rule), "o", "left_anti"))
         if undecided.isEmpty():
             break
-    leaders = cut_lineage(reduce(DataFrame.unionByName, found))
+    leaders = reduce(DataFrame.unionByName, found)
     reach = pairs.join(leaders.select("sig").distinct(), "sig", "left_semi") if whole else _leader_pairs(leaders, sigs, rule)
     return _assign(everything, leaders, reach, rule)
 
 
 def _leader_pairs(leaders: DataFrame, sigs: DataFrame, rule: Similarity) -> DataFrame:
     of_leaders = sigs.join(leaders.select("sig").distinct(), "sig", "left_semi")
-    return cut_lineage(similar_pairs(of_leaders, sigs, rule).unionByName(_self_pairs(of_leaders)))
+    return similar_to(of_leaders, sigs, rule)
 
 
 def _affordable(undecided: DataFrame, sigs: DataFrame, budget: int) -> tuple[DataFrame, DataFrame, bool]:

@@ -43,7 +43,7 @@ def is_sitemap(body: Column) -> Column:
 
 
 def _first_text(*fields: Column) -> Column:
-    stripped = [F.filter(F.transform(f, F.trim), lambda x: x != "") for f in fields]
+    stripped = [F.filter(F.transform(f, lambda x: F.trim(x)), lambda x: x != "") for f in fields]
     return F.coalesce(*[F.try_element_at(s, F.lit(1)) for s in stripped], F.lit(""))
 
 
