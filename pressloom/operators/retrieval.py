@@ -1,13 +1,274 @@
-"""Term-overlap retrieval over a postings table."""
+"""Term-overlap retrieval over a postings table.
+
+Candidates come from an equi join on terms and one count per (query, document). Two sets that share at least ``m`` terms
+share one of the query's rarest ``n - m + 1`` terms, so only those are joined; the full count is then taken on the pair.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.functions import text, urls, verdicts
+from pressloom.functions import fixed_values as fv
+from pressloom.operators.ranking import first_per_group, top_per_group
+
+
+def postings(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
+    return docs.select(doc, F.explode(terms).alias("term"))
+
 
 def term_weights(docs: DataFrame) -> DataFrame:
     """``docs``: doc, terms (distinct). Document frequency and idf = ln(N / df), N at least 2."""
     total = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(2)).alias("total"))
     df = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(total)).select("term", "df", F.log(F.col("total") / F.col("df")).alias("idf"))  # one row
+
+
+def _rare_first(queries: DataFrame, index: DataFrame, terms: str, needed: Column) -> DataFrame:
+    """Per query the terms that have to be looked up, rarest in the index first."""
+    asked = queries.select("qid", F.explode(terms).alias("term"))
+    frequency = (
+        index.select(F.explode("terms").alias("term"))
+        .join(asked.select("term").distinct(), "term", "left_semi")
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"))
+    )
+    ranked = (
+        asked.join(frequency, "term")
+        .groupBy("qid")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("known"))
+    )
+    keep = F.greatest(F.size("known") - needed + 1, F.lit(0))
+    return queries.join(ranked, "qid").withColumn("lookup", F.slice(F.transform("known", lambda k: k["term"]), F.lit(1), keep)).drop("known")
+
+
+def find(queries: DataFrame, index: DataFrame, needed: Column, terms: str = "terms") -> DataFrame:
+    """Index rows sharing at least ``needed`` terms with each query: qid, did, shared.
+
+    ``queries``: qid and an array of distinct terms; ``index``: did, terms.
+    """
+    asked = _rare_first(queries.where(needed >= 1), index, terms, needed)
+    probes = asked.select("qid", F.col(terms).alias("q_terms"), needed.alias("needed"), "lookup", F.explode("lookup").alias("term"))
+    entries = index.select("did", F.col("terms").alias("d_terms"), F.explode("terms").alias("term"))
+    first_common = F.try_element_at(F.array_intersect("lookup", "d_terms"), F.lit(1))
+    return (
+        probes.join(entries, "term")
+        .where(F.col("term") == first_common)  # each pair once
+        .select("qid", "did", F.size(F.array_intersect("q_terms", "d_terms")).alias("shared"), "needed")
+        .where(F.col("shared") >= F.col("needed"))
+        .drop("needed")
+    )
+
+
+def _signature(terms: str) -> Column:
+    return F.md5(F.array_join(F.array_sort(terms), " "))
+
+
+def title_matches(queries: DataFrame, index: DataFrame, needed: Column) -> DataFrame:
+    """Every distinct title sharing enough terms with a query, with its newest article and how many articles carry it."""
+    keyed = index.withColumn("terms", text.retrieval_tokens(F.col("title"))).withColumn("did", _signature("terms"))
+    titles = keyed.groupBy("did").agg(
+        F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct(-F.unix_micros("published"), "id")).alias("id")
+    )
+    return find(queries, titles.select("did", "terms"), needed).join(titles.drop("terms"), "did").select("qid", "id", "n", "shared")
+
+
+def best_order() -> list[Column]:
+    """More shared terms first, then newest, then index order."""
+    return [F.col("shared").desc(), F.col("published").desc(), F.col("id").asc()]
+
+
+def coverage_candidates(claims: DataFrame, index: DataFrame, per_outlet: int = 2, limit: int = 8) -> DataFrame:
+    """Headlines that may cover a claim.
+
+    ``claims``: qid, b (query terms), w (query and claim terms). ``index``: id, title, url, kind, published. A headline
+    counts with three terms of ``w`` (all, if fewer), or with 60 % of at most four query terms. Fact checks are left out.
+    """
+    public = index.where((F.col("kind") != "checagem") & urls.is_public(F.col("url")))
+    described = public.withColumn("terms", text.retrieval_tokens(F.col("title"))).withColumn("outlet", urls.outlet_key(F.col("url")))
+    newest = [F.col("published").desc(), F.col("id").asc()]
+    news = top_per_group(described.withColumn("sig", _signature("terms")), ["sig", "outlet"], newest, per_outlet)  # copies rank alike
+    keyed = news.groupBy("sig").agg(F.first("terms").alias("terms")).withColumnRenamed("sig", "did")
+    least = F.least(F.lit(fv.MIN_SHARED_TERMS), F.size("w"))
+    by_claim = find(claims, keyed, least, "w")
+    small = claims.where(F.size("b").between(1, 4))
+    by_query = find(small, keyed, F.ceil(F.lit(0.6) * F.size("b")).cast("int"), "b")
+    hits = by_claim.select("qid", "did").unionByName(by_query.select("qid", "did")).distinct()
+    ranked = (
+        hits.join(claims.select("qid", "w"), "qid")
+        .join(news.select(F.col("sig").alias("did"), "id", "title", "url", "published", "source", "grupo", "desc", "terms", "outlet"), "did")
+        .withColumn("shared", F.size(F.array_intersect("w", "terms")))
+        .drop("w", "terms", "did")
+    )
+    return cap_per_outlet(ranked, per_outlet, limit)
+
+
+def cap_per_outlet(candidates: DataFrame, per_outlet: int = 2, limit: int = 8) -> DataFrame:
+    """At most ``per_outlet`` rows of an outlet and ``limit`` rows per claim, in retrieval order."""
+    few = top_per_group(candidates, ["qid", "outlet"], best_order(), per_outlet)
+    return top_per_group(few, ["qid"], best_order(), limit, rank="place")
+
+
+def merge_candidates(local: DataFrame, external: DataFrame, per_outlet: int = 2, limit: int = 8) -> DataFrame:
+    """Local rows first, then external ones, without repeating a link; ``pos`` is the order within each list."""
+    both = local.withColumn("part", F.lit(0)).unionByName(external.withColumn("part", F.lit(1)))
+    link = urls.without_slash(F.col("url"))
+    order = [F.col("part").asc(), F.col("pos").asc()]
+    unique = first_per_group(both.withColumn("link", link), ["qid", "link"], order)
+    few = top_per_group(unique, ["qid", "outlet"], order, per_outlet)
+    return top_per_group(few, ["qid"], order, limit, rank="place").drop("link")
+
+
+def same_story(articles: DataFrame, index: DataFrame) -> DataFrame:
+    """Per article the newest row of each title and other outlet that shares three topic terms with the article's title.
+
+    ``articles``: id, title, url, source. ``index``: id, title, url, source, kind, grupo, published. Articles with the same
+    topic terms and outlet ask the same question, and copies of a title inside an outlet give the same answer, so both sides
+    are folded before they meet: ``askers`` maps the folded question back to the articles.
+    """
+    candidates = (
+        index.withColumn("terms", text.retrieval_tokens(F.col("title")))
+        .withColumn("did", _signature("terms"))
+        .withColumn("outlet", urls.outlet_key(F.col("url")))
+        .groupBy("did", "outlet", "source", "kind", "grupo")
+        .agg(F.first("terms").alias("terms"), F.min_by(F.struct("id", "title", "url", "published"), F.struct(-F.unix_micros("published"), "id")).alias("row"))
+    )
+    asked = questions(articles).select("qid", "q_terms", "q_outlet", "q_source").distinct()
+    sets = asked.select(_signature("q_terms").alias("qid"), F.col("q_terms").alias("terms")).dropDuplicates(["qid"])
+    titles = candidates.groupBy("did").agg(F.first("terms").alias("terms"))
+    hits = find(sets, titles, F.lit(fv.MIN_SHARED_TERMS))
+    return (
+        hits.withColumnRenamed("qid", "set")
+        .join(candidates.drop("terms"), "did")
+        .join(asked.withColumn("set", _signature("q_terms")), "set")
+        .where((F.col("outlet") != F.col("q_outlet")) & (F.col("source") != F.col("q_source")))
+        .select("qid", "outlet", "source", "kind", "grupo", "shared", "row.*")
+    )
+
+
+def questions(articles: DataFrame) -> DataFrame:
+    """Article ids with the folded question they ask; titles with fewer than three topic terms ask none."""
+    q = articles.select(
+        F.col("id").alias("article"), text.topic_terms(F.col("title")).alias("q_terms"), urls.outlet_key(F.col("url")).alias("q_outlet"),
+        F.col("source").alias("q_source"),
+    ).where(F.size("q_terms") >= fv.MIN_SHARED_TERMS)
+    return q.withColumn("qid", F.md5(F.concat_ws("|", F.array_join(F.array_sort("q_terms"), " "), "q_outlet", "q_source")))
+
+
+def other_outlets(hits: DataFrame, limit: int = 4) -> DataFrame:
+    """The best row of each other outlet, at most ``limit`` per question."""
+    best = first_per_group(hits, ["qid", "outlet"], best_order())
+    return top_per_group(best, ["qid"], best_order(), limit, rank="place")
+
+
+def outlet_counts(articles: DataFrame, hits: DataFrame, official: int = 2) -> DataFrame:
+    """Outlets with the same story (own one included) and up to two official sources; null when the title is too short."""
+    is_official = F.col("grupo") == "oficial"
+    news = hits.where(~is_official & (F.col("kind") != "checagem")).groupBy("qid").agg(F.count_distinct("outlet").alias("others"))
+    best = first_per_group(hits.where(is_official), ["qid", "outlet"], best_order())
+    officials = (
+        top_per_group(best, ["qid"], best_order(), official, rank="place")
+        .groupBy("qid")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("oficiais"))
+    )
+    answers = questions(articles).select("article", "qid").join(news, "qid", "left").join(officials, "qid", "left")
+    return articles.join(answers.withColumnRenamed("article", "id"), "id", "left").select(
+        "id",
+        F.when(F.col("qid").isNotNull(), F.coalesce("others", F.lit(0)) + 1).alias("veiculos"),
+        F.coalesce("oficiais", F.array().cast("array<string>")).alias("oficiais"),
+    )
+
+
+def index_checks(claims: DataFrame, index: DataFrame, copies: int = 5) -> DataFrame:
+    """Fact checks of the index about a claim: qid, id, title, url, published, classe (empty = merely related), shared.
+
+    ``claims``: qid, terms, negado.
+    """
+    public = index.where((F.col("kind") == "checagem") & urls.is_public(F.col("url")))
+    newest = [F.col("published").desc(), F.col("id").asc()]
+    rows = top_per_group(public, ["title"], newest, copies)  # copies of a title rank alike
+    keyed = rows.select(F.col("id").alias("did"), text.retrieval_tokens(F.col("title")).alias("terms"))
+    hits = find(claims.select("qid", "terms"), keyed, F.least(F.lit(fv.MIN_SHARED_TERMS), F.size("terms")))
+    title = F.col("title")
+    return (
+        hits.join(claims.select("qid", "negado"), "qid")
+        .join(rows.select(F.col("id").alias("did"), "id", "title", "url", "published", "source"), "did")
+        .withColumn("classe", verdicts.sense_guarded(verdicts.title_class(title), verdicts.remainder_negated(title), F.col("negado")))
+        .drop("did", "negado")
+    )
+
+
+def delivered_checks(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """Results of an external fact-check search, kept when they are about the claim and link to a public page.
+
+    ``results``: qid, rid, claim_text, review_title, rating, url, published, publisher. ``claims``: qid, terms, negado.
+    """
+    about = F.coalesce(F.nullif(F.col("claim_text"), F.lit("")), F.coalesce("review_title", F.lit("")))
+    found = text.retrieval_tokens(F.concat_ws(" ", F.coalesce("claim_text", F.lit("")), F.coalesce("review_title", F.lit(""))))
+    shared = F.size(F.array_intersect("terms", found))
+    return (
+        results.join(claims.select("qid", "terms", "negado"), "qid")
+        .withColumn("shared", shared)
+        .where((F.col("shared") >= F.least(F.lit(2), F.size("terms"))) & urls.is_public(F.col("url")))
+        .withColumn("classe", verdicts.sense_guarded(verdicts.rating_class(F.col("rating")), verdicts.is_negated(about), F.col("negado")))
+        .drop("terms", "negado")
+    )
+
+
+def merge_checks(lists: DataFrame, limit: int = 5) -> DataFrame:
+    """Checks with a verdict first, then by shared terms; each link once (first list wins); the best five per claim.
+
+    ``lists``: qid, part, pos, url, classe, shared and any other columns.
+    """
+    order = [F.col("part").asc(), F.col("pos").asc()]
+    unique = first_per_group(lists.withColumn("link", urls.without_slash(F.col("url"))), ["qid", "link"], order)
+    ranking = [(F.col("classe") == "").asc(), F.col("shared").desc(), *order]
+    return top_per_group(unique, ["qid"], ranking, limit, rank="place").drop("link")
+
+
+def search_terms(query: str) -> list[str]:
+    """Words of two letters or more of a typed query."""
+    return list(dict.fromkeys(t for t in text.plain_fold(query).split() if len(t) > 1))
+
+
+def _has_all(folded: Column, terms: list[str]) -> Column:
+    out = F.lit(True)
+    for term in terms:
+        out = out & F.contains(folded, F.lit(term))
+    return out
+
+
+def keyword_search(index: DataFrame, query: str, kind: str | None = None, person: str | None = None) -> DataFrame:
+    """Every term must occur; two points in the title, one in outlet or description. One pass over the index.
+
+    ``index``: id, title, source_name, desc, kind, published, pessoas.
+    """
+    terms = search_terms(query)
+    if not terms and not person:
+        return index.select("id", F.lit(0).alias("score"), "published").where(F.lit(False))
+    rows = index
+    if kind:
+        rows = rows.where(F.col("kind") == kind)
+    if person:
+        rows = rows.where(F.array_contains("pessoas", person))
+    title = text.fold_grouping(F.col("title"))
+    rest = text.fold_grouping(F.concat_ws(" ", "source_name", F.coalesce("desc", F.lit(""))))
+    found = rows.withColumn("k_title", title).withColumn("k_rest", rest)
+    points = F.lit(0)
+    for term in terms:
+        found = found.where(F.contains("k_title", F.lit(term)) | F.contains("k_rest", F.lit(term)))
+        points = points + F.when(F.contains("k_title", F.lit(term)), 2).otherwise(1)
+    return found.select("id", points.alias("score"), "published").orderBy(F.col("score").desc(), F.col("published").desc(), "id")
+
+
+def type_ahead(index: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """The newest rows whose title and outlet contain all terms."""
+    folded = text.fold_grouping(F.concat_ws(" ", "title", "source_name"))
+    hits = index.where(_has_all(folded, search_terms(query)) & F.lit(bool(search_terms(query))))
+    return hits.orderBy(F.col("published").desc(), F.col("id").asc()).limit(limit).select("id", "published")
+
+
+def filter_stories(stories: DataFrame, query: str) -> DataFrame:
+    """Stories whose title, summary, outlets and headlines together contain all terms. ``stories``: story, words."""
+    return stories.where(_has_all(text.fold_grouping(F.col("words")), search_terms(query)))
