@@ -177,7 +177,7 @@ def a13(spark, sf):
 
 @query(
     "a12_probe_report",
-    f"""WITH {HEADLINES}, f AS (SELECT source AS grp, source || '/' || lang AS url, n, CASE WHEN lang = 'de' AND n % 4 = 0 THEN 'xml-quebrado' WHEN lang = 'es' THEN 'sitemap' ELSE 'feed' END AS kind, count(*) AS itens, max(published) - to_days(CAST(n % 5 AS INT)) AS novo FROM h GROUP BY ALL),
+    f"""WITH {HEADLINES}, f AS (SELECT source AS grp, source || '/' || lang AS url, n, CASE WHEN lang = 'de' AND n % 4 = 0 THEN 'xml-quebrado' WHEN lang = 'es' THEN 'sitemap' ELSE 'feed' END AS kind, count(*) AS itens, max(published) - to_days(CAST(any_value(n) % 5 AS INT)) AS novo FROM h GROUP BY ALL),
     u AS (SELECT *, kind IN ('feed', 'sitemap') AND novo > {NOW} - INTERVAL 72 HOUR AS us FROM f)
     SELECT grp AS "group", count(*) AS testes, count(*) FILTER (WHERE us) AS usaveis, count(*) FILTER (WHERE kind IN ('feed', 'sitemap') AND NOT us) AS velhos, count(*) FILTER (WHERE kind = 'xml-quebrado') AS quebrados,
       count(*) FILTER (WHERE n % 7 = 0) AS falhas, array_to_string(coalesce((list(url ORDER BY itens DESC, url) FILTER (WHERE us))[1:3], []), ',') AS melhores FROM u GROUP BY grp""",
@@ -218,7 +218,6 @@ def a15(spark, sf):
 # --- pages ----------------------------------------------------------------------------------------------------------------
 
 _OPEN = "(?is)^(.*?)(?:</p\\b|<p\\b|</?(?:div|ul|ol|table|section|article|main|h[1-6]|blockquote|pre|header|dl|fieldset|address|body|html)\\b|\\z)"
-_SKIP = " ".join([])
 
 
 def _strip_blocks(x):
@@ -352,7 +351,7 @@ def j17(spark, sf):
 @query(
     "j18_mentions_resolved",
     f"""WITH {_CHECKED.replace("keyed AS MATERIALIZED (SELECT name, regexp_replace(name, '/SP$', '') AS k FROM ask)", "keyed AS MATERIALIZED (SELECT nome || CASE WHEN length(nome) % 2 = 0 THEN ' Quixote Zyx' ELSE ' de Zyxwv' END AS name, nome || CASE WHEN length(nome) % 2 = 0 THEN ' quixote zyx' ELSE ' de zyxwv' END AS k, nome FROM pl)")}
-    SELECT keyed.name, CASE WHEN length(keyed.nome) % 2 = 0 THEN keyed.nome ELSE keyed.name END AS lugar, length(keyed.nome) % 2 = 0 AS existe FROM keyed""",
+    SELECT keyed.name, CASE WHEN length(keyed.nome) % 2 = 0 THEN keyed.nome WHEN keyed.nome LIKE '% %' THEN split_part(keyed.nome, ' ', 1) ELSE keyed.name END AS lugar, length(keyed.nome) % 2 = 0 OR keyed.nome LIKE '% %' AS existe FROM keyed""",
 )
 def j18(spark, sf):
     p = place_list(spark, sf)

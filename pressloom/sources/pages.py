@@ -84,7 +84,8 @@ def structured_body(html: Column) -> Column:
     blocks = F.array_join(
         F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"""), F.lit(1)), "\n"
     )
-    raw = F.regexp_extract_all(blocks, F.lit(r'"articleBody"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    # a lazy dot instead of a repeated group, which would recurse once per character in the regex engine
+    raw = F.regexp_extract_all(blocks, F.lit(r'(?s)"articleBody"\s*:\s*"(.*?(?<!\\)(?:\\\\){0,64})"'), F.lit(1))
     quoted = F.transform(raw, lambda b: F.concat(F.lit('["'), F.regexp_replace(F.regexp_replace(b, r"\r?\n", "\\\\\\\\n"), "[\\x00-\\x1f]", " "), F.lit('"]')))
     values = F.filter(F.transform(quoted, lambda q: F.from_json(q, "array<string>")[0]), lambda v: v.isNotNull())
     longest = F.array_max(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
