@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,14 +44,12 @@ def read_json_store(spark: SparkSession, path: str) -> DataFrame:
 
 def load_store(spark: SparkSession, path: str) -> DataFrame:
     """The store, an empty one when nothing was written yet, or ``StoreCorrupted``."""
-    from pyspark.errors import PySparkException
-
     if not _exists(spark, path):
         return read_json_store_empty(spark)
     store = read_json_store(spark, path)
     try:
         store.agg(F.count("id"), F.max("published")).first()
-    except PySparkException as exc:
+    except (PySparkException, Py4JJavaError) as exc:
         raise StoreCorrupted(f"cannot read the store at {path}") from exc
     return store
 
