@@ -91,12 +91,18 @@ def select(subscribers: DataFrame, digests: DataFrame, now: Column, per_run: int
         ),
         lambda x: x["s"] < 0,
     )
-    joined = subscribers.crossJoin(F.broadcast(listed))  # one row holding at most MAX_DIGESTS digests
-    ranked = joined.withColumn("__ranked", F.array_sort(scored))
-    unique = F.filter("__ranked", lambda x, i: F.array_position(F.transform("__ranked", lambda y: y["u"]), x["u"]) == i + 1)
-    chosen = F.when(
-        ~first_sight & awake & (room > 0), F.transform(F.slice(unique, F.lit(1), F.greatest(room, F.lit(0))), lambda x: x["id"])
-    ).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def take(acc: Column, x: Column) -> Column:
+        new = (F.size(acc["ids"]) < per_run) & ~F.array_contains(acc["links"], x["u"])
+        return F.struct(
+            F.when(new, F.array_append(acc["ids"], x["id"])).otherwise(acc["ids"]).alias("ids"),
+            F.when(new, F.array_append(acc["links"], x["u"])).otherwise(acc["links"]).alias("links"),
+        )
+
+    best = F.aggregate(F.array_sort(scored), F.struct(none.alias("ids"), none.alias("links")), take)["ids"]
+    ranked = subscribers.crossJoin(F.broadcast(listed))  # one row holding at most MAX_DIGESTS digests
+    chosen = F.when(~first_sight & awake & (room > 0), F.slice(best, F.lit(1), F.greatest(room, F.lit(0)))).otherwise(none)
     ids = F.transform("digests", lambda d: d["id"])
     return (
         ranked.withColumn("enviar", chosen)
