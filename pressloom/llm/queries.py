@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from pressloom.llm import block_repeats, bpe, suffix_repeats  # noqa: F401  importing registers
+from pressloom.llm import block_repeats, bpe, language_id, suffix_repeats  # noqa: F401  importing registers
 from pressloom.llm.base import ORACLES, QUERIES  # noqa: F401
