@@ -70,7 +70,7 @@ def signatures(cell: np.ndarray, bounds: np.ndarray, coordinates: int = COORDINA
         rank, thrown, number = np.zeros(len(own)), [], 0
         while len(own):
             number += 1
-            dart = mix(key + np.uint64(number) * _GOLD)
+            dart = mix(key + np.uint64(number * int(_GOLD) % (1 << 64)))
             rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53))
             falls = rank <= latest
             own, key, latest, rank, dart = own[falls], key[falls], latest[falls], rank[falls], dart[falls]

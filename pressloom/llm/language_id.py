@@ -177,46 +177,56 @@ def _word_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[n
     return scores, bounds
 
 
-_SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<lang: string, start: int, words: int>>"
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, lang_pred, score (share of the words in that language) and the spans of one language, in words."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # 2^16 numbers a language
-    span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("words", pa.int32())]))
+SPANS = "array<struct<lang: string, start: int, words: int>>"
+
+
+def _labels(model: Model, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Language, score and spans of each text."""
+    data, offsets = buffer(texts)
+    langs, shares, spans = [], [], []
+    for a, b in chunks(offsets):
+        scores, at = _word_scores(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for i in range(b - a):
+            rows = scores[at[i] : at[i + 1]]
+            text = texts[a + i].as_py() if len(rows) else ""
+            if not model.languages or not len(rows) or not (_ANY_LATIN.search(text) or any(map(str.isalpha, text))):
+                langs.append(UNKNOWN)
+                shares.append(0.0)
+                spans.append([])
+                continue
+            path = best_path(rows)
+            number = np.bincount(path, minlength=len(model.languages))
+            top = int(number.argmax())
+            first = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
+            langs.append(model.languages[top])
+            shares.append(float(number[top] / len(path)))
+            spans.append([{"lang": model.languages[path[s]], "start": int(s), "words": int(n)} for s, n in zip(first, np.diff(np.append(first, len(path))), strict=True)])
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("words", pa.int32())]))
+    return pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, kind)
+
+
+def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "spans")) -> DataFrame:
+    """``docs`` (text and any columns) -> the same columns, the language, its share of the words, and the spans of one language, in words."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2^16 numbers a language
+    at = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
         for batch in batches:
-            data, offsets = buffer(batch.column(1))
-            texts = batch.column(1)
-            langs, shares, spans = [], [], []
-            for a, b in chunks(offsets):
-                part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                scores, at = _word_scores(own, part, bounds)
-                for i in range(b - a):
-                    rows = scores[at[i] : at[i + 1]]
-                    text = texts[a + i].as_py() if len(rows) else ""
-                    if not own.languages or not len(rows) or not (_ANY_LATIN.search(text) or any(map(str.isalpha, text))):
-                        langs.append(UNKNOWN)
-                        shares.append(0.0)
-                        spans.append([])
-                        continue
-                    path = best_path(rows)
-                    number = np.bincount(path, minlength=len(own.languages))
-                    top = int(number.argmax())
-                    first = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
-                    langs.append(own.languages[top])
-                    shares.append(float(number[top] / len(path)))
-                    spans.append([{"lang": own.languages[path[s]], "start": int(s), "words": int(n)} for s, n in zip(first, np.diff(np.append(first, len(path))), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, span)], ["doc_id", "lang_pred", "score", "spans"])
-
-    return docs.select("doc_id", "text").mapInArrow(scan, _SCHEMA)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_labels(held.value, batch.column(at))], [*batch.schema.names, *names])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(scan, f"{fields}, {names[0]} string, {names[1]} double, {names[2]} {SPANS}")
+
+
+def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents whose text is in a learned language for a share of ``least`` of its words or more. Same columns; learns from their own lang."""
+    lang, score, spans = "__lang_pred", "__lang_score", "__lang_spans"
+    marked = identify(docs, learn(docs), (lang, score, spans))
+    return marked.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score, spans)
 
 
 @base.query("op9_language_spans")
 def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents")
     model = learn(docs.where(base.remainder(4) != 2))
-    return identify(docs, model).select("doc_id", (base.remainder(4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (base.remainder(4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
