@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import dates, urls
 from pressloom.functions import fixed_values as fv
-
-MAX_DIGESTS = 50  # forty stories and ten denials: what a run publishes
+from pressloom.operators.ranking import first_per_group, top_per_group
 
 
 def valid_endpoint(endpoint: Column) -> Column:
@@ -46,68 +45,77 @@ def clean_preferences(subscriptions: DataFrame, known_topics: list[str] | None =
     return out.where(chosen)
 
 
-def score(digest: Column) -> Column:
-    """Why a digest interests a subscriber: the first rule that holds gives the score; zero is no interest."""
-    d = digest
-    n = F.coalesce(d["n"], F.lit(0))
+def _last(ids: Column) -> Column:
+    return F.slice(ids, F.greatest(F.size(ids) - (fv.LEDGER_LENGTH - 1), F.lit(1)), fv.LEDGER_LENGTH)
+
+
+def _offers(digests: DataFrame) -> DataFrame:
+    """What a digest can interest someone by: kind of rule, value, and the points it gives; the highest rule that holds decides."""
+    n = F.coalesce("n", F.lit(0))
+    check = F.col("k") == "checagem"
+
+    def listed(kind: str, name: str, less: int) -> Column:
+        values = F.coalesce(F.array_distinct(F.col(name)), F.array().cast("array<string>"))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), (n - less).alias("points")))
+
+    def single(kind: str, points: Column) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), F.lit("").alias("value"), points.alias("points")))
+
+    story = F.concat(single("geral", n), listed("tema", "temas", 1), listed("pessoa", "pessoas", 1), listed("uf", "ufs", 2))
+    offers = F.when(F.coalesce(check, F.lit(False)), single("checagem", F.greatest(n, F.lit(1)) + 100)).otherwise(story)
+    offered = digests.withColumn("offers", offers).select("pos", "id", "u", n.alias("n"), F.coalesce("p", F.lit(0)).alias("p"), "offers")
+    return offered.select("pos", "id", "u", "n", "p", F.explode("offers").alias("o")).select("pos", "id", "u", "n", "p", "o.*")
+
 
-    def threshold(kind: str) -> Column:
+def _wishes(subscribers: DataFrame) -> DataFrame:
+    """key, kind, value and the coverage from which that rule holds for the subscriber."""
+
+    def least(kind: str) -> Column:
         return F.when(F.col("nivel") == "importantes", fv.ALERT_THRESHOLDS["importantes"][kind]).otherwise(fv.ALERT_THRESHOLDS["top"][kind])
 
-    return (
-        F.when(d["k"] == "checagem", F.when(F.col("checagens"), F.greatest(n, F.lit(1)) + 100).otherwise(0))
-        .when(F.col("geral") & (n >= threshold("geral")), n)
-        .when(F.arrays_overlap("temas", d["temas"]) & (n >= threshold("tema")), n - 1)
-        .when(F.arrays_overlap("pessoas", d["pessoas"]) & (n >= threshold("tema")), n - 1)
-        .when(F.arrays_overlap("ufs", d["ufs"]) & (n >= threshold("uf")), n - 2)
-        .otherwise(0)
-    )
+    def listed(kind: str, name: str, least_n: Column) -> Column:
+        values = F.coalesce(F.array_distinct(F.col(name)), F.array().cast("array<string>"))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), least_n.alias("least")))
 
+    def single(kind: str, wanted: Column, least_n: Column) -> Column:
+        one = F.array(F.struct(F.lit(kind).alias("kind"), F.lit("").alias("value"), least_n.cast("int").alias("least")))
+        return F.when(wanted, one).otherwise(F.slice(one, 1, 0))
 
-def _last(ids: Column) -> Column:
-    return F.slice(ids, F.greatest(F.size(ids) - (fv.LEDGER_LENGTH - 1), F.lit(1)), fv.LEDGER_LENGTH)
+    wishes = F.concat(
+        single("geral", F.col("geral"), least("geral")), single("checagem", F.col("checagens"), F.lit(0)), listed("tema", "temas", least("tema")),
+        listed("pessoa", "pessoas", least("tema")), listed("uf", "ufs", least("uf")),
+    )
+    return subscribers.withColumn("wishes", wishes).select("key", F.explode("wishes").alias("w")).select("key", "w.*")
 
 
 def select(subscribers: DataFrame, digests: DataFrame, now: Column, per_run: int = fv.ALERTS_PER_RUN) -> DataFrame:
     """What each subscriber gets in this run (``enviar``) and the state after a full delivery (``s``, ``d``, ``n``).
 
-    ``subscribers``: key, the preference columns, s (null on first sight), d, n. ``digests`` has at most ``MAX_DIGESTS``
-    rows, which travel as one broadcast row; everything else happens inside the subscriber's row, without a shuffle.
+    ``subscribers``: key, the preference columns, s (null on first sight), d, n. Digests and wishes meet by an equi join on the
+    kind of rule and its value; what the ledger holds is taken off, and the best few of each subscriber are left. Any number of digests will do.
     """
-    fields = ["id", "t", "u", "f", "n", "temas", "ufs", "pessoas", "k", "p"]
-    listed = digests.orderBy("pos").limit(MAX_DIGESTS).agg(
-        F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("digests")
-    )
     today, hour = dates.local_day(now), dates.local_hour(now)
     first_sight = F.col("s").isNull()
     sent_today = F.when(F.col("d") == today, F.coalesce("n", F.lit(0))).otherwise(0)
     awake = (hour >= fv.ALERT_HOUR_START) & (hour < fv.ALERT_HOUR_END)
     room = F.least(F.lit(per_run), F.col("max") - sent_today)
-    unseen = F.filter("digests", lambda d: ~F.array_contains(F.coalesce("s", F.array().cast("array<string>")), d["id"]))
-    scored = F.filter(
-        F.transform(
-            unseen,
-            lambda d: F.struct((-score(d)).alias("s"), (-F.coalesce(d["p"], F.lit(0))).alias("p"), d["pos"].alias("pos"), d["id"].alias("id"), d["u"].alias("u")),
-        ),
-        lambda x: x["s"] < 0,
-    )
+    due = subscribers.where(~first_sight & awake & (room > 0))
+    met = _offers(digests).join(_wishes(due), ["kind", "value"]).where((F.col("n") >= F.col("least")) & (F.col("points") > 0))
+    scored = met.groupBy("key", "pos", "id", "u", "p").agg(F.max("points").alias("points"))
+    unseen = scored.join(due.select("key", F.explode("s").alias("id")), ["key", "id"], "left_anti")
+    best = [F.col("points").desc(), F.col("p").desc(), F.col("pos").asc()]
+    once = first_per_group(unseen, ["key", "u"], best)
+    places = top_per_group(once, ["key"], best, per_run, rank="place")
+    chosen = places.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("best"))
+    latest = digests.orderBy(F.col("pos").desc()).limit(fv.LEDGER_LENGTH)
+    marks = latest.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("mark"))
     none = F.array().cast("array<string>")
-
-    def take(acc: Column, x: Column) -> Column:
-        new = (F.size(acc["ids"]) < per_run) & ~F.array_contains(acc["links"], x["u"])
-        return F.struct(
-            F.when(new, F.array_append(acc["ids"], x["id"])).otherwise(acc["ids"]).alias("ids"),
-            F.when(new, F.array_append(acc["links"], x["u"])).otherwise(acc["links"]).alias("links"),
-        )
-
-    best = F.aggregate(F.array_sort(scored), F.struct(none.alias("ids"), none.alias("links")), take)["ids"]
-    ranked = subscribers.crossJoin(F.broadcast(listed))  # one row holding at most MAX_DIGESTS digests
-    chosen = F.when(~first_sight & awake & (room > 0), F.slice(best, F.lit(1), F.greatest(room, F.lit(0)))).otherwise(none)
-    ids = F.transform("digests", lambda d: d["id"])
     return (
-        ranked.withColumn("enviar", chosen)
+        subscribers.join(chosen, "key", "left")
+        .crossJoin(F.broadcast(marks))  # one row of at most LEDGER_LENGTH ids
+        .withColumn("enviar", F.coalesce(F.slice("best", F.lit(1), F.greatest(room, F.lit(0))), none))
         .withColumn("n_after", F.when(first_sight, 0).otherwise(sent_today + F.size("enviar")))
-        .withColumn("s_after", F.when(first_sight, _last(ids)).otherwise(_last(F.concat("s", "enviar"))))
+        .withColumn("s_after", F.when(first_sight, F.col("mark")).otherwise(_last(F.concat("s", "enviar"))))
         .select("key", "enviar", first_sight.alias("primeira"), F.col("s_after").alias("s"), today.alias("d"), F.col("n_after").alias("n"))
     )
 

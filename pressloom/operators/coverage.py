@@ -270,7 +270,7 @@ def overlay_stories(external: DataFrame, external_ids: DataFrame, word_stories:
 def numbered_candidates(articles: DataFrame, now: Column, hours: int = 30, limit: int = 900) -> DataFrame:
     """The newest recent headlines as numbered lines for an external grouper."""
     recent = articles.where(dates.age_hours(F.col("published"), now) < hours)
-    ranked = top_per_group(recent.withColumn("__all", F.lit(1)), ["__all"], newest_first(), limit, rank="num").drop("__all")
+    ranked = top_per_group(recent, [], newest_first(), limit, rank="num")
     title = F.substring(F.trim(F.regexp_replace("title", r"[|\r\n]+", " ")), 1, 120)
     return ranked.select("num", "id", "source", F.concat_ws("|", F.col("num").cast("string"), "source_name", title).alias("line"))
 

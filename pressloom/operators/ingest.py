@@ -211,7 +211,7 @@ def collection_stats(sources: DataFrame, entries: DataFrame, usable: DataFrame,
     out = sources.select(F.col("id").alias("source"), "name")
     for df, name in ((entries, "items"), (usable, "usable"), (added, "new")):
         out = out.join(count(df, name), "source", "left")
-    down = failures.groupBy("source").agg(F.first("error").alias("error"))
+    down = failures.groupBy("source").agg(F.min("error").alias("error"))
     return (
         out.join(down, "source", "left")
         .fillna(0, ["items", "usable", "new"])

@@ -13,7 +13,6 @@ into one task and no group is ever expanded into all of its pairs:
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -213,14 +212,7 @@ def _decide(batch: DataFrame, pairs: DataFrame, rule: Similarity) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _candidate_pairs(sigs: DataFrame) -> int:
-    probes = sigs.select(F.explode("probe").alias("term"), F.lit(1).alias("p"), F.lit(0).alias("i"))
-    entries = sigs.select(F.explode("index").alias("term"), F.lit(0).alias("p"), F.lit(1).alias("i"))
-    per_term = probes.unionByName(entries).groupBy("term").agg(F.sum("p").alias("p"), F.sum("i").alias("i"))
-    return int(per_term.agg(F.sum(F.col("p") * F.col("i"))).first()[0] or 0)
-
-
-def similar_leaders(items: DataFrame, rule: Similarity = LOOSE, pair_budget: int = 2_000_000_000) -> DataFrame:
+def similar_leaders(items: DataFrame, rule: Similarity = LOOSE) -> DataFrame:
     """``(id, leader, shared, united, weight_shared, weight_smaller)`` for every item with enough tokens.
 
     ``items``: id, ts, tokens (distinct). Order: newest first, then id. Leaders point at themselves.
@@ -232,45 +224,10 @@ def similar_leaders(items: DataFrame, rule: Similarity = LOOSE, pair_budget: int
     )
     prepared = cut_lineage(_bucketed(prepared, rule))
     sigs = cut_lineage(signatures(prepared, rule))
-    undecided = everything = prepared.drop("tokens", "id")
-    found, pairs, whole = [], None, True
-    while True:
-        batch, batch_sigs, complete = _affordable(undecided, sigs, pair_budget)
-        pairs = similar_pairs(batch_sigs, rule)
-        leaders = _decide(batch, pairs, rule)
-        found.append(leaders)
-        if complete:
-            break
-        whole = False
-        rest = undecided.join(batch.select("o"), "o", "left_anti")
-        reach = _leader_pairs(leaders, sigs, rule)
-        undecided = cut_lineage(rest.join(_covered(rest, leaders, reach, rule), "o", "left_anti"))
-        if undecided.isEmpty():
-            break
-    leaders = reduce(DataFrame.unionByName, found)
-    reach = pairs.join(leaders.select("sig").distinct(), "sig", "left_semi") if whole else _leader_pairs(leaders, sigs, rule)
-    return _assign(everything, leaders, reach, rule)
-
-
-def _leader_pairs(leaders: DataFrame, sigs: DataFrame, rule: Similarity) -> DataFrame:
-    of_leaders = sigs.join(leaders.select("sig").distinct(), "sig", "left_semi")
-    return similar_to(of_leaders, sigs, rule)
-
-
-def _affordable(undecided: DataFrame, sigs: DataFrame, budget: int) -> tuple[DataFrame, DataFrame, bool]:
-    """The longest leading part of the order whose candidate pairs fit the budget."""
-    cut, share, complete = None, 1.0, True
-    while True:
-        batch = undecided if cut is None else undecided.where(F.col("t") <= cut)
-        batch_sigs = sigs.join(batch.select("sig").distinct(), "sig", "left_semi")
-        pairs = _candidate_pairs(batch_sigs)
-        if pairs <= budget:
-            return batch, batch_sigs, complete
-        share *= min(0.7, math.sqrt(budget / pairs))
-        lower = undecided.agg(F.percentile_approx("t", share, 10_000)).first()[0]
-        if cut is not None and lower >= cut:
-            return batch, batch_sigs, complete  # one instant cannot be split
-        cut, complete = lower, False
+    everything = prepared.drop("tokens", "id")
+    pairs = similar_pairs(sigs, rule)
+    leaders = _decide(everything, pairs, rule)
+    return _assign(everything, leaders, pairs.join(leaders.select("sig").distinct(), "sig", "left_semi"), rule)
 
 
 def _assign(items: DataFrame, leaders: DataFrame, pairs: DataFrame, rule: Similarity) -> DataFrame:

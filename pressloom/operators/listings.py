@@ -116,7 +116,7 @@ def with_day_headers(listed: DataFrame, keys: list[str]) -> DataFrame:
 
 def search_index(enriched: DataFrame, limit: int = 2500, described: int = 1200) -> DataFrame:
     """The newest rows for search: flags only when true, short descriptions only for the newest of them."""
-    ranked = top_per_group(enriched.withColumn("__all", F.lit(1)), ["__all"], newest_first(), limit, rank="rank").drop("__all")
+    ranked = top_per_group(enriched, [], newest_first(), limit, rank="rank")
     flag = lambda c: F.when(c, F.lit(1))
     return ranked.select(
         "rank",

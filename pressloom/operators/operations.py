@@ -121,7 +121,7 @@ def scanner_pattern(paths: list[str] | None = None) -> str:
 def scanner_hits(requests: DataFrame) -> DataFrame:
     """Requests for addresses only scanners visit, by path and network; no caller is kept."""
     hits = requests.where(F.col("path").rlike(scanner_pattern()))
-    return hits.groupBy(F.substring("path", 1, 80).alias("path"), "network").agg(F.count(F.lit(1)).alias("n"))
+    return hits.groupBy("path", "network").agg(F.count(F.lit(1)).alias("n"))
 
 
 def secrets(documents: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:

@@ -6,22 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-SALTS = 64
-_PUSHED_LIMIT = 1000  # up to here Spark trims every partition before the shuffle (window group limit)
-
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int | Column, rank: str | None = None) -> DataFrame:
     """Rows ranked 1..limit within each group by ``order``, which must be a total order.
 
-    A small literal limit is applied before the shuffle by the window group limit. Any other limit is applied twice: on
-    salted slices of each group, then on what is left; the top rows of a union are among the top rows of its parts.
+    A literal limit is applied before the shuffle by the window group limit. Without keys the table is one group: its top
+    rows are taken first, by partitions, and only they are ranked.
     """
     name = rank or "__rank"
-    if not isinstance(limit, int) or limit > _PUSHED_LIMIT:
-        salt = F.spark_partition_id() % SALTS
-        sliced = df.withColumn("__salt", salt)
-        local = Window.partitionBy(*keys, "__salt").orderBy(*order)
-        df = sliced.withColumn("__local", F.row_number().over(local)).where(F.col("__local") <= limit).drop("__salt", "__local")
+    if not keys:
+        df = df.orderBy(*order).limit(limit)
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= limit)
     return ranked if rank else ranked.drop(name)
 

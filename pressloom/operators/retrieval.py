@@ -66,12 +66,10 @@ def _signature(terms: str) -> Column:
 
 
 def title_matches(queries: DataFrame, index: DataFrame, needed: Column) -> DataFrame:
-    """Every distinct title sharing enough terms with a query, with its newest article and how many articles carry it."""
-    keyed = index.withColumn("terms", text.retrieval_tokens(F.col("title"))).withColumn("did", _signature("terms"))
-    titles = keyed.groupBy("did").agg(
-        F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct(-F.unix_micros("published"), "id")).alias("id")
-    )
-    return find(queries, titles.select("did", "terms"), needed).join(titles.drop("terms"), "did").select("qid", "id", "n", "shared")
+    """Every article whose title shares enough terms with a query; titles with the same terms are matched once: qid, id, published, shared."""
+    keyed = index.select("id", "published", F.array_sort(text.retrieval_tokens(F.col("title"))).alias("terms")).withColumn("did", _signature("terms"))
+    titles = keyed.select("did", "terms").distinct()
+    return find(queries, titles, needed).join(keyed.drop("terms"), "did").select("qid", "id", "published", "shared")
 
 
 def best_order() -> list[Column]:
@@ -180,20 +178,18 @@ def outlet_counts(articles: DataFrame, hits: DataFrame, official: int = 2) -> Da
     )
 
 
-def index_checks(claims: DataFrame, index: DataFrame, copies: int = 5) -> DataFrame:
+def index_checks(claims: DataFrame, index: DataFrame) -> DataFrame:
     """Fact checks of the index about a claim: qid, id, title, url, published, classe (empty = merely related), shared.
 
     ``claims``: qid, terms, negado.
     """
     public = index.where((F.col("kind") == "checagem") & urls.is_public(F.col("url")))
-    newest = [F.col("published").desc(), F.col("id").asc()]
-    rows = top_per_group(public, ["title"], newest, copies)  # copies of a title rank alike
-    keyed = rows.select(F.col("id").alias("did"), text.retrieval_tokens(F.col("title")).alias("terms"))
+    keyed = public.select(F.col("title").alias("did")).distinct().withColumn("terms", text.retrieval_tokens(F.col("did")))  # copies match alike
     hits = find(claims.select("qid", "terms"), keyed, F.least(F.lit(fv.MIN_SHARED_TERMS), F.size("terms")))
     title = F.col("title")
     return (
         hits.join(claims.select("qid", "negado"), "qid")
-        .join(rows.select(F.col("id").alias("did"), "id", "title", "url", "published", "source"), "did")
+        .join(public.select(F.col("title").alias("did"), "id", "title", "url", "published", "source"), "did")
         .withColumn("classe", verdicts.sense_guarded(verdicts.title_class(title), verdicts.remainder_negated(title), F.col("negado")))
         .drop("did", "negado")
     )

@@ -13,12 +13,13 @@ from pressloom.plans.views import table
 
 RUN = "2024-01-29 18:30:00"  # 15:30 local
 NIGHT = "2024-01-29 04:00:00"
+DIGEST_COUNT = 130  # what the run publishes; the selection takes any number
 
 
 def digests(spark, sf):
-    """The fifty most covered of the tagged headlines, coverage taken from the document number."""
+    """The most covered of the tagged headlines, coverage taken from the document number."""
     t = tagged(spark, sf).withColumn("n", 1 + F.col("doc_id") % 9)
-    best = t.orderBy(F.col("n").desc(), F.col("published").desc(), "id").limit(alerts.MAX_DIGESTS)
+    best = t.orderBy(F.col("n").desc(), F.col("published").desc(), "id").limit(DIGEST_COUNT)
     return best.select(
         F.col("doc_id").alias("pos"), "id", F.col("title").alias("t"), F.concat(F.lit("https://x.example.org/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("u"),
         F.col("source_name").alias("f"), "n", F.col("topics").alias("temas"), F.col("ufs_txt").alias("ufs"), F.col("pessoas_t").alias("pessoas"),
@@ -27,7 +28,7 @@ def digests(spark, sf):
 
 
 DIGESTS = f"""{TAGGED}, dig AS MATERIALIZED (SELECT doc_id AS pos, id, title AS t, 'https://x.example.org/' || (doc_id // 2) AS u, source_name AS f, 1 + doc_id % 9 AS n, topics AS temas, ufs_txt AS ufs, pessoas_t AS pessoas,
-    CASE WHEN kind = 'checagem' THEN 'checagem' ELSE 'assunto' END AS k, CAST(epoch(published) AS BIGINT) AS p FROM tagged ORDER BY 1 + doc_id % 9 DESC, published DESC, id LIMIT 50)"""
+    CASE WHEN kind = 'checagem' THEN 'checagem' ELSE 'assunto' END AS k, CAST(epoch(published) AS BIGINT) AS p FROM tagged ORDER BY 1 + doc_id % 9 DESC, published DESC, id LIMIT {DIGEST_COUNT})"""
 
 
 def subscribers(spark, sf):
@@ -69,7 +70,7 @@ def n1(spark, sf):
 
 @query(
     "n1_state_after_run",
-    f"""WITH {_SELECTED}, a AS (SELECT key, list(id ORDER BY r) AS ids FROM sel GROUP BY key), alld AS (SELECT list(id ORDER BY pos) AS ids FROM dig),
+    f"""WITH {_SELECTED}, a AS (SELECT key, list(id ORDER BY r) AS ids FROM sel GROUP BY key), alld AS (SELECT list(id ORDER BY pos) AS ids FROM (SELECT * FROM dig ORDER BY pos DESC LIMIT 60)),
     st AS (SELECT sub.key, CASE WHEN s IS NULL THEN (SELECT ids FROM alld) ELSE s || coalesce(a.ids, []::VARCHAR[]) END AS full_s, CASE WHEN s IS NULL THEN 0 ELSE CASE WHEN d = '2024-01-29' THEN n ELSE 0 END + coalesce(len(a.ids), 0) END AS n FROM sub LEFT JOIN a ON a.key = sub.key)
     SELECT key, array_to_string(CASE WHEN len(full_s) > 60 THEN full_s[len(full_s) - 59:] ELSE full_s END, ',') AS s, '2024-01-29' AS d, n FROM st""",
 )
@@ -102,7 +103,7 @@ def receipts(spark, sf):
 @query(
     "n2_ledger_after_delivery",
     f"""WITH {_SELECTED}, rc AS (SELECT key, id, r, CASE WHEN key % 17 = 0 THEN 410 WHEN (key + r - 1) % 5 = 0 THEN 500 ELSE 201 END AS status FROM sel),
-    pk AS (SELECT key, bool_or(status = 410) AS gone, list(id ORDER BY r) FILTER (WHERE status = 201) AS ok FROM rc GROUP BY key), alld AS (SELECT list(id ORDER BY pos) AS ids FROM dig),
+    pk AS (SELECT key, bool_or(status = 410) AS gone, list(id ORDER BY r) FILTER (WHERE status = 201) AS ok FROM rc GROUP BY key), alld AS (SELECT list(id ORDER BY pos) AS ids FROM (SELECT * FROM dig ORDER BY pos DESC LIMIT 60)),
     st AS (SELECT sub.key, CASE WHEN len(ok) > 0 THEN coalesce(s, []::VARCHAR[]) || ok WHEN s IS NULL THEN (SELECT ids FROM alld) ELSE s END AS full_s, len(ok) > 0 AS sent,
       CASE WHEN len(ok) > 0 THEN CASE WHEN d = '2024-01-29' THEN n ELSE 0 END + len(ok) WHEN s IS NULL THEN 0 ELSE n END AS n, CASE WHEN len(ok) > 0 OR s IS NULL THEN '2024-01-29' ELSE d END AS d
       FROM sub LEFT JOIN pk ON pk.key = sub.key WHERE NOT coalesce(gone, FALSE))

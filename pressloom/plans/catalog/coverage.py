@@ -343,11 +343,11 @@ def j20(spark, sf):
 @query(
     "j19_source_report",
     f"""WITH {HEADLINES}, {SOURCES}, rep AS (SELECT src.id, src.grupo, CASE WHEN src.grupo = 'regional' THEN uf ELSE src.grupo END AS section, count(h.id) AS n
-      FROM src LEFT JOIN h ON h.source = src.id AND h.lang = 'fr' GROUP BY ALL)
+      FROM src LEFT JOIN h ON h.source = src.id GROUP BY ALL)
     SELECT grupo, section, array_to_string(list(id || ':' || n ORDER BY id), ',') AS rows, CAST(sum(n) AS BIGINT) AS n FROM rep GROUP BY grupo, section""",
 )
 def j19(spark, sf):
-    r = coverage.source_report(views.sources(spark, sf), views.headlines(spark, sf).where(F.col("lang") == "fr"))
+    r = coverage.source_report(views.sources(spark, sf), views.headlines(spark, sf))
     rows = F.transform("rows", lambda x: F.concat_ws(":", x["id"], x["n"].cast("string")))
     return r.select("grupo", "section", joined(rows).alias("rows"), "n")
 
@@ -581,12 +581,12 @@ def w10(spark, sf):
     d AS (SELECT *, substr("desc", 1, 110) AS c, regexp_extract(substr("desc", 1, 110), '(?s)^(.{{80,}}[.!?]) ', 1) AS s FROM r)
     SELECT title AS t, source_name AS s, url AS u, strftime({base.local('published')}, '%Y-%m-%dT%H:%M') AS p, CASE WHEN kind = 'checagem' THEN 1 END AS c, CASE WHEN grupo = 'oficial' THEN 1 END AS o,
       CASE WHEN len(pessoas) > 0 THEN array_to_string(pessoas, ',') END AS g, CASE WHEN source || '.example.org' IN (SELECT host FROM blk) THEN 1 END AS b,
-      CASE WHEN rank <= 120 AND "desc" <> '' THEN CASE WHEN length("desc") <= 110 THEN "desc" WHEN s <> '' THEN s ELSE rtrim(regexp_replace(c, ' [^ ]*$', ''), ',;:') || '…' END END AS d
-    FROM d WHERE rank <= 250""",
+      CASE WHEN rank <= 1200 AND "desc" <> '' THEN CASE WHEN length("desc") <= 110 THEN "desc" WHEN s <> '' THEN s ELSE rtrim(regexp_replace(c, ' [^ ]*$', ''), ',;:') || '…' END END AS d
+    FROM d WHERE rank <= 2500""",
 )
 def s7(spark, sf):
     cols = listings.serve(views.headlines(spark, sf), views.sources(spark, sf), views.now(), blocked_hosts(spark, sf))
-    i = listings.search_index(cols.join(tagged(spark, sf).select("id", "pessoas"), "id"), 250, 120)
+    i = listings.search_index(cols.join(tagged(spark, sf).select("id", "pessoas"), "id"))
     return i.select("t", "s", "u", "p", F.col("c").cast("bigint").alias("c"), F.col("o").cast("bigint").alias("o"), joined("g").alias("g"), F.col("b").cast("bigint").alias("b"), "d")
 
 

@@ -26,9 +26,9 @@ _LEADS = [
 
 
 def claims(spark, sf):
-    """Benchmark items and user turns as claims, some worded like chain messages."""
+    """Benchmark items and all turns as claims, some worded like chain messages."""
     b = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), F.col("item_id").alias("k"), "text")
-    c = table(spark, sf, "conversations").where(F.col("role") == "user")
+    c = table(spark, sf, "conversations")
     c = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("qid"), (F.col("conv_id") + F.col("turn")).alias("k"), "text")
     lead = F.array(*[F.lit(x) for x in _LEADS])[F.pmod(F.col("k"), F.lit(len(_LEADS))).cast("int")]
     tipo = F.array(*[F.lit(x) for x in ("afirmacao", "opiniao", "previsao", "outro")])[F.pmod(F.floor(F.col("k") / 5), F.lit(4)).cast("int")]
@@ -37,7 +37,7 @@ def claims(spark, sf):
 
 CLAIMS = f"""clm AS MATERIALIZED (SELECT qid, k, text, [{", ".join(f"'{x}'" for x in _LEADS)}][k % 5 + 1] || text AS message,
     ['afirmacao', 'opiniao', 'previsao', 'outro'][(k // 5) % 4 + 1] AS tipo FROM
-    (SELECT 'b' || item_id AS qid, item_id AS k, text FROM benchmark UNION ALL SELECT 'c' || conv_id || '-' || turn, conv_id + turn, text FROM conversations WHERE role = 'user'))"""
+    (SELECT 'b' || item_id AS qid, item_id AS k, text FROM benchmark UNION ALL SELECT 'c' || conv_id || '-' || turn, conv_id + turn, text FROM conversations))"""
 
 
 @query(
@@ -69,12 +69,12 @@ _TITLE_TERMS = f"tt AS MATERIALIZED (SELECT h.*, {base.tokens2('title')} AS term
 @query(
     "j11_term_overlap",
     f"""WITH {HEADLINES}, {CLAIMS}, {_TITLE_TERMS}, q AS (SELECT qid, {base.topic_terms('text')} AS qt FROM clm),
-    titles AS (SELECT list_sort(terms) AS terms, count(*) AS n, arg_min(id, (-epoch(published), id)) AS id FROM tt GROUP BY ALL)
-    SELECT qid, id, n, len(list_intersect(qt, terms)) AS shared FROM q, titles WHERE len(list_intersect(qt, terms)) >= 3""",
+    titles AS MATERIALIZED (SELECT DISTINCT list_sort(terms) AS terms FROM tt), m AS (SELECT qid, terms, len(list_intersect(qt, terms)) AS shared FROM q, titles WHERE len(list_intersect(qt, terms)) >= 3)
+    SELECT qid, id, shared FROM m JOIN tt ON list_sort(tt.terms) = m.terms""",
 )
 def j11(spark, sf):
     q = claims(spark, sf).select("qid", text.topic_terms(F.col("text")).alias("terms"))
-    return retrieval.title_matches(q, views.headlines(spark, sf), F.lit(3)).withColumn("shared", F.col("shared").cast("bigint"))
+    return retrieval.title_matches(q, views.headlines(spark, sf), F.lit(3)).select("qid", "id", F.col("shared").cast("bigint").alias("shared"))
 
 
 def claim_terms(spark, sf):
@@ -109,8 +109,8 @@ def j13(spark, sf):
 @query(
     "k4_retrieval_order",
     f"""WITH {HEADLINES}, {CLAIMS}, {_TITLE_TERMS}, q AS (SELECT qid, {base.topic_terms('text')} AS qt FROM clm),
-    titles AS (SELECT list_sort(terms) AS terms, arg_min(id, (-epoch(published), id)) AS id, max(published) AS published FROM tt GROUP BY ALL),
-    r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY len(list_intersect(qt, terms)) DESC, published DESC, id) AS place FROM q, titles WHERE len(list_intersect(qt, terms)) >= 2)
+    titles AS MATERIALIZED (SELECT DISTINCT list_sort(terms) AS terms FROM tt), m AS (SELECT qid, terms, len(list_intersect(qt, terms)) AS shared FROM q, titles WHERE len(list_intersect(qt, terms)) >= 2),
+    r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY shared DESC, published DESC, id) AS place FROM m JOIN tt ON list_sort(tt.terms) = m.terms)
     SELECT qid, id, place FROM r WHERE place <= 3""",
 )
 def k4(spark, sf):
@@ -118,7 +118,7 @@ def k4(spark, sf):
 
     q = claims(spark, sf).select("qid", text.topic_terms(F.col("text")).alias("terms"))
     h = views.headlines(spark, sf)
-    hits = retrieval.title_matches(q, h, F.lit(2)).join(h.select("id", "published"), "id")
+    hits = retrieval.title_matches(q, h, F.lit(2))
     return top_per_group(hits, ["qid"], retrieval.best_order(), 3, rank="place").select("qid", "id", F.col("place").cast("bigint").alias("place"))
 
 
@@ -229,8 +229,7 @@ def claim_checks(spark, sf):
     return c.select("qid", text.topic_terms(F.col("text")).alias("terms"), verdicts.is_negated(F.col("message")).alias("negado"))
 
 
-_INDEX_CHECKS = f"""top5 AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY published DESC, id) AS rt FROM chk),
-    cand AS MATERIALIZED (SELECT id, title, url, published, {base.tokens2('title')} AS terms, {_norm('title')} AS r FROM top5 WHERE rt <= 5),
+_INDEX_CHECKS = f"""cand AS MATERIALIZED (SELECT id, title, url, published, {base.tokens2('title')} AS terms, {_norm('title')} AS r FROM chk),
     q AS (SELECT qid, {base.topic_terms('text')} AS qt, regexp_matches({base.fold2('message')}, '{_NEG}') AS qneg FROM clm),
     classed AS (SELECT *, {_explicit('r')} AS k, regexp_matches({_rest('r')}, '{_NEG}') AS neg FROM cand),
     ic AS MATERIALIZED (SELECT qid, id, url, published, len(list_intersect(qt, terms)) AS shared, CASE WHEN k = 'desconhecido' OR (k IN ('falso', 'verdadeiro') AND neg <> qneg) THEN '' ELSE k END AS classe

@@ -299,10 +299,10 @@ def linked_pages(spark, sf):
     f AS (SELECT regexp_extract(lower(au), '\.(\w+)$', 1) AS grp, page_id, 0 AS o, sc || '://' || au || '/feed/' || (page_id % 5) AS link FROM p WHERE page_id % 3 = 0
       UNION ALL SELECT regexp_extract(lower(au), '\.(\w+)$', 1), page_id, 1, sc || '://' || au || CASE WHEN regexp_replace(pa, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(pa, '[^/]*$', '') END || 'news.xml' FROM p WHERE page_id % 4 = 0
       UNION ALL SELECT regexp_extract(lower(au), '\.(\w+)$', 1), page_id, 2, 'https://m.example.org/sitemap.xml' FROM p WHERE page_id % 6 = 0),
-    g AS (SELECT grp, link, min((page_id, o)) AS k FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY k, link) AS place FROM g) SELECT grp AS "group", link, place FROM r WHERE place <= 12""",
+    g AS (SELECT grp, link, min((page_id, o)) AS k FROM f GROUP BY ALL) SELECT grp AS "group", link, k[1] AS page_id, CAST(k[2] AS BIGINT) AS kind FROM g""",
 )
 def x5(spark, sf):
-    return page_source.feed_links(linked_pages(spark, sf)).select("group", "link", F.col("place").cast("bigint").alias("place"))
+    return page_source.feed_links(linked_pages(spark, sf)).select("group", "link", "page_id", F.col("order").cast("bigint").alias("kind"))
 
 
 # --- places ---------------------------------------------------------------------------------------------------------------

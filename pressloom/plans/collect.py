@@ -51,7 +51,9 @@ def collect(
         "id", "title", "desc", "url", "source", "kind", "published", now.alias("seen"),
         F.lit(None).cast("string").alias("anterior"), F.lit(None).cast("timestamp").alias("alterado"),
     )
-    revisions = ingest.title_revisions(store, keyed.dropDuplicates(["id"]))
+    delivered = F.struct("n", (-F.unix_micros(F.coalesce("published", F.lit("1970-01-01").cast("timestamp")))).alias("t"), "pos")
+    last = keyed.groupBy("id").agg(F.max_by("title", delivered).alias("title"))  # deliveries apply in order, so the last title stays
+    revisions = ingest.title_revisions(store, last)
     updated = ingest.apply_revisions(store, revisions, now)
     merged = updated.unionByName(added).where(F.col("published") >= now - F.make_dt_interval(days=F.lit(window_days)))
     return Run(ingest.retain(merged, cap, floor), added, checked.where(~F.col("accepted")).select("id", "reason"), revisions, usable)

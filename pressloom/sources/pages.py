@@ -127,10 +127,11 @@ def absolute(base: Column, href: Column) -> Column:
     )
 
 
-def feed_links(pages: DataFrame, cap: int = 12) -> DataFrame:
+def feed_links(pages: DataFrame, per_page: tuple[int, int, int] | None = None, per_group: int | None = None) -> DataFrame:
     """Feeds announced by pages, links that look like feeds, sitemaps named by robots files.
 
-    ``pages``: group, page_id, url, html. Each address once per group, at most ``cap`` of them, announced feeds first.
+    ``pages``: group, page_id, url, html. Each address once per group, announced feeds first.
+    A probing budget may limit the announced feeds, links and sitemaps taken from a page, and the addresses of a group; by default all are given.
     """
     html, base = F.col("html"), F.col("url")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))
@@ -143,10 +144,11 @@ def feed_links(pages: DataFrame, cap: int = 12) -> DataFrame:
         lambda h: h.rlike(r"(?i)(/rss|/feed|\.xml$|\.rss$|rss\.)") & ~h.rlike("^(?:#|javascript)"),
     )
     sitemaps = F.regexp_extract_all(html, F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1))
+    some = lambda links, i: F.slice(F.array_distinct(links), 1, per_page[i]) if per_page else F.array_distinct(links)
     kinds = F.array(
-        F.struct(F.lit(0).alias("order"), F.slice(F.array_distinct(alternates), 1, 10).alias("links")),
-        F.struct(F.lit(1).alias("order"), F.slice(F.array_distinct(anchors), 1, 8).alias("links")),
-        F.struct(F.lit(2).alias("order"), F.slice(F.array_distinct(sitemaps), 1, 6).alias("links")),
+        F.struct(F.lit(0).alias("order"), some(alternates, 0).alias("links")),
+        F.struct(F.lit(1).alias("order"), some(anchors, 1).alias("links")),
+        F.struct(F.lit(2).alias("order"), some(sitemaps, 2).alias("links")),
     )
     found = (
         pages.select("group", "page_id", base.alias("base"), F.explode(kinds).alias("k"))
@@ -155,4 +157,6 @@ def feed_links(pages: DataFrame, cap: int = 12) -> DataFrame:
     )
     first = found.groupBy("group", "link").agg(F.min(F.struct("page_id", "order", "pos")).alias("f"))
     order = [F.col("f.page_id").asc(), F.col("f.order").asc(), F.col("f.pos").asc(), F.col("link").asc()]
-    return top_per_group(first, ["group"], order, cap, rank="place").drop("f")
+    if per_group is not None:
+        first = top_per_group(first, ["group"], order, per_group)
+    return first.select("group", "link", "f.page_id", "f.order", "f.pos")

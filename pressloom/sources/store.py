@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -79,19 +80,16 @@ def publish(df: DataFrame, root: str, check=None, partition_by: str | None = Non
     written = spark.read.parquet(target)
     if check is not None:
         check(written)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/_next")
-    conf = spark._jsc.hadoopConfiguration()
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(conf)
-    fs.delete(path(f"{root}/_current"), True)
-    fs.rename(path(f"{root}/_next"), path(f"{root}/_current"))
+    # pointers are never changed or removed: each is written whole under a name of its own, and the last one by name counts
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.json(f"{root}/_pointers/{time.time_ns():020d}-{version}")
     return version
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    """The published version."""
-    pointer = f"{root}/_current"
-    if not _exists(spark, pointer):
-        pointer = f"{root}/_next"  # a publish stopped between delete and rename
-    version = spark.read.schema("version string").json(pointer).first()["version"]
+    """The version published last."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointers")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(path)]
+    whole = [n for n in names if _exists(spark, f"{root}/_pointers/{n}/_SUCCESS")]
+    version = spark.read.schema("version string").json(f"{root}/_pointers/{max(whole)}").first()["version"]
     return spark.read.parquet(f"{root}/v={version}")

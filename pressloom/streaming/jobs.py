@@ -161,16 +161,26 @@ def run_alerts(
     return digests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and read back what it wrote (the last result in complete mode)."""
+def drain(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there now and read back what it wrote.
+
+    Complete mode gives the last batch; update mode the last row of each of ``keys``, as a batch holds only what changed. A batch that
+    is repeated after a failure writes to the same place.
+    """
     spark = stream.sparkSession
     target = f"{folder}/out"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", target).start()
     else:
-        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(target)).start()
+        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{target}/batch={n}")).start()
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return spark.read.schema(stream.schema).parquet(target)
+    written = spark.read.schema(stream.schema).parquet(target)
+    if mode == "append":
+        return written
+    written = written.select("*", F.element_at(F.regexp_extract_all(F.col("_metadata.file_path"), F.lit("batch=([0-9]+)"), F.lit(1)), -1).cast("long").alias("__batch"))
+    if mode == "complete":
+        return written.join(written.agg(F.max("__batch").alias("__batch")), "__batch").drop("__batch")
+    return written.join(written.groupBy(*keys).agg(F.max("__batch").alias("__batch")), [*keys, "__batch"]).select(*stream.columns)

@@ -32,7 +32,7 @@ def test_first_wins_equals_the_loop(spark):
 
 
 @pytest.mark.parametrize("rule", [LOOSE, STRICT])
-def test_leaders_do_not_depend_on_the_pair_budget(spark, rule):
+def test_leaders_do_not_depend_on_the_partitions(spark, rule):
     rng = random.Random(7)
     vocabulary = [f"word{i}" for i in range(40)]
     start = datetime(2024, 1, 30)
@@ -43,7 +43,7 @@ def test_leaders_do_not_depend_on_the_pair_budget(spark, rule):
     ]
     df = spark.createDataFrame(rows, "id string, ts timestamp, tokens array<string>")
     whole = {r.id: r.leader for r in similar_leaders(df, rule).collect()}
-    cut = {r.id: r.leader for r in similar_leaders(df.repartition(3), rule, pair_budget=200).collect()}
+    cut = {r.id: r.leader for r in similar_leaders(df.repartition(3), rule).collect()}
     assert whole == cut and len(whole) == 60
     assert all(whole[leader] == leader for leader in whole.values())
 
