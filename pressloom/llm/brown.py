@@ -135,7 +135,8 @@ def exchange(met: np.ndarray, of: np.ndarray) -> np.ndarray:
         rows, cols = pairs.sum(1), pairs.sum(0)
         gain = (_xlogx(pairs + after) - _xlogx(pairs)).sum(1) + (_xlogx(pairs.T + before) - _xlogx(pairs.T)).sum(1)
         gain -= _xlogx(rows + total) - _xlogx(rows) + _xlogx(cols + total) - _xlogx(cols)
-        own = int(gain[:CLASSES].argmax())
+        best = int(gain[:CLASSES].argmax())
+        own = best if gain[best] > gain[own] + 1e-9 else own
         of[u] = own
         pairs[own] += after
         pairs[:, own] += before

@@ -157,7 +157,8 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 def _word_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words x languages, and the texts' offsets among the words; words without a letter score nothing."""
     starts, ends, _, bounds = words(data, offsets)
-    if not len(starts):
+    if not len(starts) or not model.languages:
+        bounds = bounds if model.languages else np.zeros_like(bounds)
         return np.zeros((0, len(model.languages)), np.float32), bounds
     each = np.vstack([model.scores[_trigrams(data, offsets)], np.zeros((1, len(model.languages)), np.float32)])
     scores = np.add.reduceat(each, np.column_stack([starts, ends]).ravel(), axis=0)[::2]

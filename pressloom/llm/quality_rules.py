@@ -79,7 +79,7 @@ def measures(docs: DataFrame) -> DataFrame:
     return out.select(
         "*", ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         F.log(n).alias("log_words"), (F.col("word_chars") / n).alias("word_length"), (F.col("n_symbols") / n).alias("symbols_per_word"),
-        (F.col("n_dup_lines") / F.col("n_lines")).alias("dup_line_share"), (F.col("n_repeat_words") / n).alias("repeat_share"),
+        (F.col("n_dup_lines") / F.when(F.col("n_lines") > 0, F.col("n_lines"))).alias("dup_line_share"), (F.col("n_repeat_words") / n).alias("repeat_share"),
     )
 
 
