@@ -218,11 +218,11 @@ def external_stories(
 ) -> DataFrame:
     """Stories grouped elsewhere, matched to live articles.
 
-    ``grouping``: gerado, assuntos array<struct<titulo, resumo, ids>>. A story needs two outlets; the whole grouping is
+    ``grouping``: gerado, pos, titulo, resumo, id, one row for each article of a story. A story needs two outlets; the whole grouping is
     used only while younger than ``valid_hours`` and if ``min_stories`` of its stories survive.
     """
     live = grouping.where(dates.age_hours(F.col("gerado"), now) <= valid_hours)
-    stories = live.select(F.posexplode("assuntos").alias("pos", "s")).select("pos", "s.titulo", "s.resumo", F.explode(F.array_distinct("s.ids")).alias("id"))
+    stories = live.select("pos", "titulo", "resumo", "id").distinct()
     matched = stories.join(articles.select("id", "title", "url", "source", "source_name", "published"), "id")
     summary = (
         matched.groupBy("pos", "titulo", "resumo")
@@ -246,11 +246,7 @@ def external_stories(
 
 def external_members(grouping: DataFrame, articles: DataFrame) -> DataFrame:
     """(pos, id) of the live articles of each external story."""
-    return (
-        grouping.select(F.posexplode("assuntos").alias("pos", "s"))
-        .select("pos", F.explode(F.array_distinct("s.ids")).alias("id"))
-        .join(articles.select("id"), "id")
-    )
+    return grouping.select("pos", "id").distinct().join(articles.select("id"), "id")
 
 
 def overlay_stories(external: DataFrame, external_ids: DataFrame, word_stories: DataFrame, word_members: DataFrame, limit: int = 40) -> DataFrame:

@@ -412,9 +412,9 @@ def named_headlines(spark, sf):
 
 
 def external_grouping(spark, sf):
-    topics = grouping(spark, sf).groupBy("topic").agg(F.collect_list("id").alias("ids"))
-    listed = topics.select(F.struct(F.col("topic").alias("titulo"), F.lit("").alias("resumo"), "ids").alias("s"))
-    return listed.agg(F.array_sort(F.collect_list("s")).alias("assuntos")).withColumn("gerado", views.now())
+    """One row for each article a topic lists."""
+    topic = F.col("topic")
+    return grouping(spark, sf).select(views.now().alias("gerado"), topic.alias("pos"), topic.alias("titulo"), F.lit("").alias("resumo"), "id")
 
 
 @query(
@@ -499,22 +499,17 @@ def f22(spark, sf):
     return served(spark, sf).where(~F.col("bloq")).select("id", "source")
 
 
-_WRITTEN: dict = {}
+def enriched(spark, sf):
+    """The store as published, descriptions being whole texts; written, as every view reads it."""
+    h = views.headlines(spark, sf, body=True)
+    codes = F.array(*[F.lit(c) for c in STATES])
+    sources = views.sources(spark, sf)
+    sources = sources.withColumn("uf", F.when(F.col("grupo") == "regional", F.element_at(codes, F.pmod(F.col("n"), F.lit(6)) + 1)))
+    return cut_lineage(enrich.enrich(h.withColumn("desc", F.col("body")).drop("body"), sources, views.now(), blocked_hosts(spark, sf), CONFIG))
 
 
-def enriched(spark, sf):
-    """Tagged headlines with serving columns and the strict story of news items, written once per session and read by every view."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _WRITTEN:
-        cols = listings.serve(views.headlines(spark, sf), views.sources(spark, sf), views.now(), blocked_hosts(spark, sf))
-        _, links = strict_links(spark, sf)
-        tags = tagged(spark, sf).select("id", "topics", "pessoas", "pessoas_t", "ufs", "ufs_txt", "uf_fonte")
-        out = cols.join(tags, "id").join(links.select("id", F.col("leader").alias("gid")), "id", "left")
-        _WRITTEN[key] = cut_lineage(out.withColumn("gid", F.when(F.col("kind") == "noticia", F.coalesce("gid", "id"))))
-    return _WRITTEN[key]
-
-
-ENRICHED = f"""{TAGGED}, {STRICT_SQL}, {BLOCKED}, enr AS MATERIALIZED (SELECT t.*, CASE WHEN kind = 'noticia' THEN coalesce(gids.gid, t.id) END AS gid FROM tagged t LEFT JOIN gids ON gids.id = t.id)"""
+STRICT_NEWS = STRICT_SQL.replace("AS o FROM h)", "AS o FROM h WHERE kind = 'noticia')")
+ENRICHED = f"""{TAGGED}, {STRICT_NEWS}, {BLOCKED}, enr AS MATERIALIZED (SELECT t.*, CASE WHEN kind = 'noticia' THEN coalesce(gids.gid, t.id) END AS gid FROM tagged t LEFT JOIN gids ON gids.id = t.id)"""
 _VIEWS = """vw AS (SELECT 'home' AS view, '' AS key, id, published, day, gid, source FROM enr WHERE kind = 'noticia' AND grupo <> 'regional'
     UNION ALL SELECT 'estado', unnest(ufs), id, published, day, gid, source FROM enr WHERE kind = 'noticia'
     UNION ALL SELECT 'pessoa', unnest(pessoas), id, published, day, gid, source FROM enr WHERE kind = 'noticia'
