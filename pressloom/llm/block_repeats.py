@@ -81,7 +81,7 @@ def _extend(text, begin, end, q, r, block, size, order, best) -> None:
     np.minimum.at(best, ranges(q - left, count), np.repeat(order, count))
 
 
-WORDS = Unit("word", LENGTH, GRAM)
+WORDS = Unit("word", LENGTH, GRAM, many=128)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pressloom.llm.hashing import buffer, ranges
 from pressloom.llm.windows import Unit, covered, repeated_windows
 
 LENGTH = 200
-GRAM = 64
+GRAM = 100
 
 
 def _words_at(text: np.ndarray) -> np.ndarray:
@@ -141,7 +141,7 @@ def repeats_by_suffix_array(contents: list[np.ndarray], least: np.ndarray, weigh
     return which, at[first] - starts[which], count, np.zeros(len(first), np.int64)
 
 
-BYTES = Unit("byte", LENGTH, GRAM)
+BYTES = Unit("byte", LENGTH, GRAM, many=4096)
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Every window of ``size`` units (bytes or words) has a key: the least hash among its runs of ``gram`` units. Equal windows have equal keys.
 Consecutive windows with one key form a segment, and only segments whose key occurs again can hold a repeated window. Equal segments are
 folded into one, with its weight and the least order value of its documents, before anything is compared. The distinct segments of a key then go to
-a solver, which the operator brings. Keys with more distinct segments than ``MANY`` (a common line amid many texts) don't go to a
+a solver, which the operator brings. Keys with more distinct segments than the unit's ``many`` (a common line amid many texts) don't go to a
 solver as one group: their segments are cut into single windows, which meet by their own hash.
 """
 
@@ -21,11 +21,6 @@ from pressloom.llm.base import row_key
 from pressloom.llm.hashing import BYTE_VALUES, Prefix, buffer, chunks, ranges, sliding_min, words
 from pressloom.session import cut_lineage
 
-#: Distinct segments of one key that a solver gets as a group. It decides the way only, never the result.
-MANY = 128
-_SALT = np.uint64(0xD6E8FEB86659FD93)
-
-
 @dataclass(frozen=True)
 class Unit:
     """What a window consists of: bytes or words."""
@@ -33,6 +28,8 @@ class Unit:
     name: str
     size: int
     gram: int
+    #: Distinct segments of one key that a solver gets as a group. It decides the way only, never the result.
+    many: int
 
     def values(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.name == "byte":
@@ -186,7 +183,7 @@ def repeated_windows(docs: DataFrame, unit: Unit, order: F.Column, solver: Calla
     shared = cut_lineage(rows.drop("places").join(again, "least"))
 
     folded = shared.groupBy("least", "digest").agg(F.count("*").alias("weight"), F.min("ord").alias("ord"), F.min("key").alias("key"))
-    kinds = folded.groupBy("least").agg((F.count("*") > MANY).alias("many"))
+    kinds = folded.groupBy("least").agg((F.count("*") > unit.many).alias("many"))
     chosen = folded.join(kinds, "least")
     place = shared.groupBy("least", "digest", "key").agg(F.min("start").alias("start"), F.min("n").alias("n"))
     wanted = chosen.join(place, ["least", "digest", "key"]).groupBy("key").agg(F.collect_list(F.struct("least", "digest", "weight", "ord", "many", "start", "n")).alias("wanted"))
