@@ -25,7 +25,7 @@ def number_stories(items: DataFrame, tokens: Column, **options) -> DataFrame:
 def story_coverage(members: DataFrame, names: DataFrame, min_sources: int = 2) -> DataFrame:
     """Per story: outlets, size, lead and outlet names; one aggregation per (story, source) first, so big stories combine early."""
     per_source = members.groupBy("story", "source").agg(F.count(F.lit(1)).alias("n"), F.max(_newest()).alias("newest"))
-    named = per_source.join(F.broadcast(names.select(F.col("id").alias("source"), "name")), "source", "left").withColumn(
+    named = per_source.join(names.select(F.col("id").alias("source"), "name"), "source", "left").withColumn(
         "name", F.coalesce("name", "source")
     )
     return (
@@ -66,7 +66,7 @@ def also_in(members: DataFrame, names: DataFrame) -> DataFrame:
     outlets = (
         members.select("story", "source")
         .distinct()
-        .join(F.broadcast(named), "source", "left")
+        .join(named, "source", "left")
         .groupBy("story")
         .agg(F.collect_set(F.struct("source", F.coalesce("name", "source").alias("name"))).alias("outlets"))
         .where(F.size("outlets") > 1)
@@ -129,7 +129,7 @@ def scoreboard(articles: DataFrame, people: DataFrame, now: Column, board: list[
         F.count_if(F.col("t7") > 0).alias("v7"),
         F.sum("all").alias("total"),
     )
-    full = people.join(F.broadcast(counts), "id", "left").fillna(0, ["n24", "v24", "n7", "v7", "total"])  # one row per person
+    full = people.join(counts, "id", "left").fillna(0, ["n24", "v24", "n7", "v7", "total"])
     on_board = F.col("id").isin(*board) if board else F.lit(True)
     top = full.where(on_board).agg(F.greatest(F.max("n24"), F.lit(1)).alias("top"))
     return (

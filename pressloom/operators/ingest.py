@@ -25,7 +25,7 @@ def addresses(sources: DataFrame) -> DataFrame:
 def swap_label_titles(entries: DataFrame, sources: DataFrame) -> DataFrame:
     """Feeds that put a label in the title: a title of at most five words gives way to a longer description."""
     flags = sources.select(F.col("id").alias("source"), "titulo_na_descricao")
-    joined = entries.join(F.broadcast(flags), "source", "left")
+    joined = entries.join(flags, "source", "left")
     words = text.word_count(F.col("title"))
     swap = (
         F.coalesce(F.col("titulo_na_descricao"), F.lit(False))
@@ -84,7 +84,7 @@ def newest_per_source(entries: DataFrame, limits: DataFrame | None = None, defau
     order = [F.col("published").desc_nulls_last(), F.col("pos").asc()]
     if limits is None:
         return top_per_group(entries, ["source"], order, default)
-    own = entries.join(F.broadcast(limits.select("source", "limite")), "source", "left")
+    own = entries.join(limits.select("source", "limite"), "source", "left")
     return top_per_group(own, ["source"], order, F.coalesce(F.col("limite"), F.lit(default))).drop("limite")
 
 

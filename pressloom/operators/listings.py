@@ -22,7 +22,7 @@ def serve(articles: DataFrame, sources: DataFrame, now: Column, blocked: DataFra
     """Usable rows with the source's name and group, local time columns and the blocked-host flag."""
     usable = articles.where(urls.is_admissible(F.col("url")) & (F.coalesce("title", F.lit("")) != "") & F.col("published").isNotNull())
     named = usable.drop("grupo").join(
-        F.broadcast(sources.select(F.col("id").alias("source"), F.col("name").alias("source_name"), "grupo", "uf")), "source", "left"
+        sources.select(F.col("id").alias("source"), F.col("name").alias("source_name"), "grupo", "uf"), "source", "left"
     )
     local, local_now = dates.local(F.col("published")), dates.local(now)
     gap = F.datediff(local_now, local)

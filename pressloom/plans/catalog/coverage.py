@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pressloom.functions import text
 from pressloom.operators import coverage, listings, tagging
 from pressloom.operators.leaders import LOOSE, STRICT, similar_leaders
-from pressloom.plans import enrich, views
+from pressloom.plans import digests, enrich, views
 from pressloom.plans.catalog import base
 from pressloom.plans.catalog.base import HEADLINES, NOW, SOURCES, query
 from pressloom.plans.views import table
@@ -44,7 +44,7 @@ def tagged(spark, sf):
     """Headlines with names and tags read from the whole text."""
     h = views.headlines(spark, sf, body=True)
     s = views.sources(spark, sf).select(F.col("id").alias("source"), F.col("name").alias("source_name"), "uf")
-    h = h.join(F.broadcast(s), "source")  # the source dimension: one row per outlet
+    h = h.join(s, "source")
     default = F.when(F.col("grupo") == "regional", F.element_at(F.array(*[F.lit(c) for c in STATES]), F.pmod(views.source_number(F.col("source")), F.lit(6)) + 1))
     return enrich.tag(h, F.concat_ws(" ", "title", "body"), F.col("title"), default, CONFIG)
 
@@ -360,24 +360,41 @@ def story_members(spark, sf):
     return tagged(spark, sf).join(links.select("id", F.col("leader").alias("story")), "id")
 
 
-@query(
-    "a5_story_digests",
-    f"""WITH {TAGGED}, {LOOSE_SQL}, mem AS (SELECT t.*, m.o, m.story FROM tagged t JOIN members m ON m.id = t.id),
+_DIGESTS = f"""mem AS (SELECT t.*, m.o, m.story FROM tagged t JOIN members m ON m.id = t.id),
     summ AS (SELECT story, count(*) AS size, count(DISTINCT source) AS n, arg_min(url, (published, id)) AS first_url, arg_min(title, o) AS t, arg_min(url, o) AS u, arg_min(source_name, o) AS f, max(published) AS lead FROM mem GROUP BY story),
     chosen AS (SELECT * FROM (SELECT * FROM summ WHERE n >= 2 ORDER BY n DESC, size DESC, lead DESC, story LIMIT 40) WHERE lead >= {NOW} - INTERVAL 96 HOUR),
     votes AS (SELECT story, 'topic' AS kind, unnest(topics) AS v FROM mem UNION ALL SELECT story, 'state', unnest(ufs_txt) FROM mem UNION ALL SELECT story, 'outlet', uf_fonte FROM mem WHERE uf_fonte <> '' UNION ALL SELECT story, 'person', unnest(pessoas_t) FROM mem),
     tally AS (SELECT story, kind, v, count(*) AS c FROM votes GROUP BY ALL),
     ok AS (SELECT story, CASE WHEN kind IN ('state', 'outlet') THEN 'uf' ELSE kind END AS kind, v FROM tally JOIN chosen USING (story) WHERE kind = 'topic' OR (kind = 'state' AND c >= 2) OR (kind = 'outlet' AND c >= 2 AND c * 2 >= size) OR (kind = 'person' AND c >= 2 AND c * 3 >= size)),
-    lists AS (SELECT story, kind, array_to_string(list_sort(list_distinct(list(v))), ',') AS l FROM ok GROUP BY story, kind)
-    SELECT substr(sha1(first_url), 1, 12) AS id, t, u, f, n, coalesce((SELECT l FROM lists x WHERE x.story = c.story AND kind = 'topic'), '') AS temas,
+    lists AS (SELECT story, kind, array_to_string(list_sort(list_distinct(list(v))), ',') AS l FROM ok GROUP BY story, kind)"""
+_DIGEST_ROWS = """SELECT substr(sha1(first_url), 1, 12) AS id, t, u, f, n, coalesce((SELECT l FROM lists x WHERE x.story = c.story AND kind = 'topic'), '') AS temas,
       coalesce((SELECT l FROM lists x WHERE x.story = c.story AND kind = 'uf'), '') AS ufs, coalesce((SELECT l FROM lists x WHERE x.story = c.story AND kind = 'person'), '') AS pessoas,
-      'assunto' AS k, CAST(epoch(lead) AS BIGINT) AS p FROM chosen c""",
-)
+      'assunto' AS k, CAST(epoch(lead) AS BIGINT) AS p FROM chosen c"""
+
+
+@query("a5_story_digests", f"WITH {TAGGED}, {LOOSE_SQL}, {_DIGESTS} {_DIGEST_ROWS}")
 def a5(spark, sf):
     d = coverage.story_digests(story_members(spark, sf), views.now(), fresh_hours=96)
     return d.select("id", "t", "u", "f", "n", joined("temas").alias("temas"), joined("ufs").alias("ufs"), joined("pessoas").alias("pessoas"), "k", "p")
 
 
+_RECENT_SQL = LOOSE_SQL.replace("AS o FROM h)", f"AS o FROM h WHERE published > {NOW} - INTERVAL 120 HOUR AND kind = 'noticia')")
+_DENIALS = f"""deny AS (SELECT chk.*, src.name AS source_name FROM chk JOIN src ON src.id = chk.source WHERE published > {NOW} - INTERVAL 240 HOUR
+    AND regexp_matches({base.fold1('title')}, '\\b(falso|falsa|falsos|fake|engano|enganoso|enganosa|golpe|boato|desinforma\\w*|manipulad\\w*|montagem|nao procede|sem provas?|distorc\\w*|descontextualiz\\w*|sem\\s+fundamento)\\b')
+    ORDER BY published DESC, chk.id LIMIT 10)"""
+
+
+@query(
+    "a5_digest_run",
+    f"""WITH {TAGGED}, {CHECKS.replace(HEADLINES + ", ", "")}, {_DENIALS}, {_RECENT_SQL}, {_DIGESTS} {_DIGEST_ROWS}
+    UNION ALL SELECT substr(sha1(url), 1, 12), title, url, source_name, 1, '', '', '', 'checagem', CAST(epoch(published) AS BIGINT) FROM deny""",
+)
+def a5_run(spark, sf):
+    names = views.sources(spark, sf).select(F.col("id").alias("source"), F.col("name").alias("source_name"))
+    d = digests.digest_run(tagged(spark, sf), checks(spark, sf).join(names, "source"), views.now(), story_hours=120, fresh_hours=96, check_hours=240)
+    return d.select("id", "t", "u", "f", "n", joined("temas").alias("temas"), joined("ufs").alias("ufs"), joined("pessoas").alias("pessoas"), "k", "p")
+
+
 def grouping(spark, sf):
     """An external grouping derived from the labels: headlines of one language and label pair form a topic.
 
@@ -408,7 +425,7 @@ def j21(spark, sf):
 
 def named_headlines(spark, sf):
     s = views.sources(spark, sf).select(F.col("id").alias("source"), F.col("name").alias("source_name"))
-    return views.headlines(spark, sf).join(F.broadcast(s), "source")
+    return views.headlines(spark, sf).join(s, "source")
 
 
 def external_grouping(spark, sf):

@@ -491,7 +491,7 @@ def _all_in(k, q):
 )
 def k1(spark, sf):
     s = views.sources(spark, sf).select(F.col("id").alias("source"), F.col("name").alias("source_name"))
-    index = views.headlines(spark, sf, body=True).withColumn("desc", F.col("body")).join(F.broadcast(s), "source")
+    index = views.headlines(spark, sf, body=True).withColumn("desc", F.col("body")).join(s, "source")
     return _unioned([retrieval.keyword_search(index, q).select(F.lit(i).alias("qid"), "id", "score") for i, q in enumerate(_SEARCHES)])
 
 

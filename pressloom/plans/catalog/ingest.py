@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressloom.functions import dates, text, urls
+from pressloom.functions import fixed_values as fv
 from pressloom.operators import ingest, listings
 from pressloom.plans import views
 from pressloom.plans.catalog import base
@@ -559,3 +560,13 @@ def a6(spark, sf):
 def s9(spark, sf):
     published = views.headlines(spark, sf).select("url").union(table(spark, sf, "pages").select("url"))
     return listings.host_allow_list(views.sources(spark, sf), published)
+
+
+@query(
+    "f3_lookup_form",
+    rf"""WITH p AS (SELECT page_id, regexp_extract(trim(url), '^(https?)://', 1) AS sc, regexp_extract(trim(url), '^https?://([^/?#]*)', 1) AS au, regexp_extract(trim(url), '^https?://[^/?#]*([^?#]*)', 1) AS pa,
+      list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ({base.quoted(fv.LOOKUP_TRACKING_KEYS)})) AS k FROM pages)
+    SELECT page_id, sc || '://' || lower(au) || pa || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS link FROM p""",
+)
+def f3_lookup(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.lookup_form(F.col("url")).alias("link"))

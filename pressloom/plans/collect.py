@@ -33,7 +33,7 @@ def collect(
     limite, relogio, titulo_na_descricao. ``store``: id, title, desc, url, source, kind, published, seen, anterior, alterado.
     """
     rules = sources.select(F.col("id").alias("source"), "n", "kind", "include", "exclude", "politica", "relogio")
-    adjusted = ingest.swap_label_titles(entries, sources).join(F.broadcast(rules), "source")
+    adjusted = ingest.swap_label_titles(entries, sources).join(rules, "source")
     keep = ingest.keep_flag(
         F.col("url"), F.col("title"), F.col("desc"), F.col("include"), F.col("exclude"), F.col("politica"), noise, relevant
     )

@@ -29,7 +29,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("state"))
     group = F.when(F.col("n") < 2, "checagem").when(F.col("n") < 4, "oficial").when(F.col("n") < 10, "nacional").otherwise("regional")
     return (
-        seen.join(F.broadcast(nation), "n", "left")
+        seen.join(nation, "n", "left")
         .withColumn("grupo", group)
         .select(
             F.col("source").alias("id"),

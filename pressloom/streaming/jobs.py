@@ -29,9 +29,12 @@ def deduplicated(entries: DataFrame, delay: str = f"{fv.WINDOW_DAYS} days") -> D
 
 
 def admitted(entries: DataFrame, now: Column | None = None, window_days: int = fv.WINDOW_DAYS) -> DataFrame:
-    """Undated and future rows count as now, rows older than the window are dropped; without ``now`` the clock is read per batch."""
+    """Undated and future rows count as now, rows older than the window are dropped; without ``now`` the clock is read per batch.
+
+    The admitted time carries a watermark of the same length, for stateful jobs that follow.
+    """
     moment = F.current_timestamp() if now is None else now
-    fixed = entries.withColumn("published", dates.admitted_time(F.col("published"), moment))
+    fixed = entries.withColumn("published", dates.admitted_time(F.col("published"), moment)).withWatermark("published", f"{window_days} days")
     return fixed.where(F.col("published") >= moment - F.make_dt_interval(days=F.lit(window_days)))
 
 
