@@ -21,7 +21,7 @@ from pressloom.llm.hashing import Prefix, mix, ranges
 from pressloom.llm.windows import Unit, covered, repeated_windows
 
 LENGTH = 50
-GRAM = 16
+GRAM = 25
 LAST = (1 << 63) - 1
 
 
@@ -48,8 +48,11 @@ def repeats_by_blocks(contents: list[np.ndarray], least: np.ndarray, weight: np.
     at = ranges(starts, windows)
     best = np.full(len(text), LAST)
     best[at] = order[which[at]]
-    for first in range(0, len(probe), 1 << 16):  # bounds the memory of the hits
-        part = slice(first, first + (1 << 16))
+    upto = np.cumsum(hits)
+    first = 0
+    while first < len(probe):  # about a million hits at once
+        part = slice(first, max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + (1 << 20), "right"))))
+        first = part.stop
         q = np.repeat(probe[part], hits[part])
         r = index[ranges(low[part], hits[part])]
         other = (which[q] != which[r]) & (order[which[r]] < order[which[q]])
@@ -81,7 +84,7 @@ def _extend(text, begin, end, q, r, block, size, order, best) -> None:
     np.minimum.at(best, ranges(q - left, count), np.repeat(order, count))
 
 
-WORDS = Unit("word", LENGTH, GRAM, many=128)
+WORDS = Unit("word", LENGTH, GRAM, many=2048)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
