@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pressloom.functions import text
 from pressloom.operators import coverage, listings, tagging
 from pressloom.operators.leaders import LOOSE, STRICT, similar_leaders
-from pressloom.plans import digests, enrich, views
+from pressloom.plans import digests, enrich, publish, views
 from pressloom.plans.catalog import base
 from pressloom.plans.catalog.base import HEADLINES, NOW, SOURCES, query
 from pressloom.plans.views import table
@@ -625,3 +625,44 @@ def j23(spark, sf):
     order = coverage.newest_first()
     before = h.where(F.col("published") < views.now() - F.expr("INTERVAL 1 HOUR")).orderBy(*order).limit(400)
     return listings.new_since(h.orderBy(*order).limit(400), before).select("url")
+
+
+# --- the publish run --------------------------------------------------------------------------------------------------------
+
+
+def published(spark, sf):
+    h = views.headlines(spark, sf, body=True)
+    codes = F.array(*[F.lit(c) for c in STATES])
+    sources = views.sources(spark, sf)
+    sources = sources.withColumn("uf", F.when(F.col("grupo") == "regional", F.element_at(codes, F.pmod(F.col("n"), F.lit(6)) + 1)))
+    return publish.publish_run(
+        h.withColumn("desc", F.col("body")).drop("body"), sources, views.now(), blocked_hosts(spark, sf), external_grouping(spark, sf), CONFIG, recent_hours=120, page_size=10
+    )
+
+
+_OUTSIDE = f"""xn AS (SELECT lang || '-' || quality || '-' || toxic || '-' || strftime(published, '%m%d') AS topic, h.id, h.source, h.published FROM labels JOIN h USING (doc_id) WHERE h.kind = 'noticia'),
+    xs AS MATERIALIZED (SELECT topic, count(DISTINCT source) AS n, count(*) AS size, max(published) AS lead FROM xn GROUP BY topic HAVING count(DISTINCT source) >= 2 ORDER BY n DESC, lead DESC, topic LIMIT 40)"""
+_OVERRIDDEN = ENRICHED.replace(
+    ", enr AS MATERIALIZED (SELECT t.*, CASE WHEN kind = 'noticia' THEN coalesce(gids.gid, t.id) END AS gid FROM tagged t LEFT JOIN gids ON gids.id = t.id)",
+    f", {_OUTSIDE}, enr AS MATERIALIZED (SELECT t.*, CASE WHEN kind = 'noticia' THEN coalesce((SELECT 'ext:' || topic FROM xn WHERE xn.id = t.id AND topic IN (SELECT topic FROM xs)), gids.gid, t.id) END AS gid FROM tagged t LEFT JOIN gids ON gids.id = t.id)",
+)
+
+
+@query("i2_published_listings", f"""WITH {_OVERRIDDEN}, {_VIEWS} SELECT view, key, id, more, CAST(ceil(rank / 10.0) AS BIGINT) AS page, (rank - 1) % 10 + 1 AS pos FROM lst WHERE rank <= 10 * {_CAP}""")
+def i2_listings(spark, sf):
+    return published(spark, sf).listings.select("view", "key", "id", "more", "page", "pos")
+
+
+@query("s8_topics_in_focus", f"""WITH {HEADLINES}, {_OUTSIDE} SELECT topic AS titulo, n FROM xs ORDER BY n DESC, lead DESC, topic LIMIT 5""")
+def s8_focus(spark, sf):
+    return published(spark, sf).focus.select("titulo", "n")
+
+
+@query(
+    "q1_run_gate",
+    f"""WITH {_OVERRIDDEN}, {_VIEWS} SELECT 'articles' AS output, 'rows below minimum' AS rule, 1000000 - count(*) AS n FROM enr
+    UNION ALL SELECT 'listings', 'rows below minimum', 1000000 - count(*) FROM lst WHERE rank <= 10 * {_CAP}""",
+)
+def q1_run(spark, sf):
+    """A gate that asks for a million rows, so that it has something to say."""
+    return publish.gate(published(spark, sf), least=1_000_000)
