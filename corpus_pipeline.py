@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.llm import base
-from pressloom.llm.bpe import decode_documents, encode_documents
+from pressloom.llm.bpe import encode_documents
 from pressloom.llm.dart_minhash import without_near_duplicates
 from pressloom.llm.decontaminate import without_contaminated
 from pressloom.llm.language_id import in_known_language
@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = decode_documents(encode_documents(docs).drop("text"))
+    coded = encode_documents(docs, with_decoded=True)
     return coded.select("doc_id", F.col("decoded").alias("text"), "lang", "source", "n_chars", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
 
 

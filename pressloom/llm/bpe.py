@@ -16,6 +16,7 @@ import json
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pressloom.llm import base
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct words whose encodings a worker keeps at most; beyond that it starts anew.
-KEPT = 300_000
+#: Distinct words, and pairs of tokens, that a worker keeps at most; beyond that it starts anew.
+KEPT = 200_000
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
@@ -87,7 +88,7 @@ class Encoder:
                     r = rank.get((x, y))
                     if r is not None and r < x_until and r <= y_until:
                         known = False
-            if len(self.may_follow) > 2_000_000:
+            if len(self.may_follow) > KEPT:
                 self.may_follow.clear()
             self.may_follow[key] = known
         return known
@@ -168,23 +169,28 @@ def _groups(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
         yield group
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs`` (text and any columns) -> the same columns and ``tokens`` (array of ids)."""
+def encode_documents(docs: DataFrame, path: str | None = None, with_decoded: bool = False) -> DataFrame:
+    """``docs`` (text and any columns) -> the same columns, ``tokens`` (array of ids) and, if asked for, ``decoded``: the text from these ids."""
     path = path or vocabulary_path()
     at = docs.columns.index("text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            ids: list[list[int]] = []
+            first = 0
             for group in _groups([t or "" for t in batch.column(at).to_pylist()]):
-                for words in own.encode_all(group):
-                    joined = ",".join([w[1] for w in words])
-                    ids.append([int(i) for i in joined.split(",")] if joined else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "tokens"])
+                coded = own.encode_all(group)
+                joined = [",".join([w[1] for w in words]) for words in coded]
+                flat = np.array(",".join(filter(None, joined)).split(","), np.int32) if any(joined) else np.zeros(0, np.int32)
+                counts = [sum([w[0] for w in words]) for words in coded]
+                tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(flat))
+                more = [pa.array([own.decode(flat[e - n : e].tolist()) for n, e in zip(counts, np.cumsum(counts))], pa.string())] if with_decoded else []
+                part = batch.slice(first, len(group))
+                first += len(group)
+                yield pa.RecordBatch.from_arrays([*part.columns, tokens, *more], [*batch.schema.names, "tokens", *["decoded"] * with_decoded])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(encode, f"{fields}, tokens array<int>")
+    return docs.mapInArrow(encode, f"{fields}, tokens array<int>" + ", decoded string" * with_decoded)
 
 
 def decode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -195,8 +201,10 @@ def decode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            texts = [own.decode(t or ()) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                texts = [own.decode(t or ()) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(decode, f"{fields}, decoded string")

@@ -34,10 +34,11 @@ def test_report_and_columns(spark, library):
     for r in rows:
         ids = library.encode(r[1] or "", add_special_tokens=False).ids
         expected.append((r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
-    key = lambda t: (t[0] is None, t)
     assert sorted(map(tuple, bpe.encoding_report(frame(spark)).collect()), key=str) == sorted(expected, key=str)
     docs = frame(spark, clash=True).drop("tokens")
     coded = bpe.decode_documents(bpe.encode_documents(docs))
     assert coded.columns == [*docs.columns, "tokens", "decoded"]
+    at_once = bpe.encode_documents(docs, with_decoded=True)
+    assert at_once.columns == coded.columns and sorted(map(str, at_once.collect())) == sorted(map(str, coded.collect()))
     assert all(r["decoded"] == (r["text"] or "") for r in coded.collect())
-    assert bpe.encoding_report(empty(spark)).count() == 0 and key
+    assert bpe.encoding_report(empty(spark)).count() == 0
