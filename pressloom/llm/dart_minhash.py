@@ -170,7 +170,7 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, node (hash of the text), class_id (least id of the class), class_docs (its documents)."""
+    """``docs`` (doc_id, text) -> doc_id, node (hash of the text), root (least node of the class), class_id (its least id), class_docs (its documents)."""
     docs = base.texts(docs).withColumn("node", F.xxhash64("text"))
     signed = cut_lineage(docs.select("node", "doc_id", "text").mapInArrow(_bands, "node long, doc_id long, bands array<long>"))
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
@@ -204,8 +204,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_docs"))
-    of_node = named.join(classes, "root").select("node", "class_id", "class_docs")
-    return signed.select("node", "doc_id").join(of_node, "node").select("doc_id", "node", "class_id", "class_docs")
+    of_node = named.join(classes, "root").select("node", "root", "class_id", "class_docs")
+    return signed.select("node", "doc_id").join(of_node, "node").select("doc_id", "node", "root", "class_id", "class_docs")
 
 
 def _links_beside_pivots(compared: DataFrame, texts: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     Equal rows are one document here: one of them stays. Rows of a class without any id keep the one with the least text hash.
     """
     marked = near_duplicate_classes(docs)
-    nearest = marked.where("doc_id <=> class_id").groupBy("class_id").agg(F.min("node").alias("node"))
+    nearest = marked.where("doc_id <=> class_id").groupBy("root").agg(F.min("class_id").alias("class_id"), F.min("node").alias("node"))
     keyed = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = keyed.join(nearest.hint("shuffle_hash"), (keyed["doc_id"].eqNullSafe(nearest["class_id"])) & (keyed["__node"] == nearest["node"]), "left_semi")
     extra = kept.groupBy("doc_id", "__node").agg(F.count("*").alias("__rows")).where("__rows > 1")

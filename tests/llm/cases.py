@@ -29,7 +29,7 @@ def hard_rows(seed: int = 1) -> list[tuple]:
         (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \n\t ", None, None, 3), (4, "...!!! 123", "en", "a", 9), (5, "one", "en", None, 3),
         (6, base, "en", "a", 1), (7, base, "de", "b", 1), (8, " ".join(near), "en", "a", 1), (9, long, None, "b", 1), (10, text(30) + " " + passage + " " + text(30), "de", "a", 1),
         (11, "ab " * 300, "en", "a", 900), (12, "x" * 700, "en", "b", 700), (13, text(80), "en", "a", 1), (13, text(90), "de", "a", 1),
-        (14, base, "en", "a", 1), (14, base, "en", "a", 1), (None, base, None, None, None), (None, text(60), "en", "a", 1), (None, None, None, None, None),
+        (14, base, "en", "a", 1), (14, base, "en", "a", 1), (None, base, None, None, None), (None, text(60), "en", "a", 1), (None, text(61), "en", "a", 1), (None, None, None, None, None),
         (15, "日本語のテキスト " * 40, "ja", "c", 1), (16, "<|endoftext|> mixed 😀 é \x00   text's", "en", "a", 1), (17, text(49) + " " + passage, "en", "a", 1),
     ]
     return rows
@@ -118,3 +118,9 @@ def least_ids(rows) -> list:
         if rows[i][0] is not None:
             groups[c].append(rows[i][0])
     return [(r[0], min(groups[c]) if groups[c] else None) for r, c in zip(rows, of)]
+
+
+def kept_ids(rows) -> list:
+    """The least id of each class, classes without ids last."""
+    by_class = {c: least for c, (_, least) in zip(classes(rows), least_ids(rows))}
+    return sorted((x for x in by_class.values() if x is not None)) + [None] * sum(x is None for x in by_class.values())
