@@ -502,10 +502,10 @@ def revised(spark, sf):
     m, t = F.col("doc_id") % 6, F.col("title")
     new = (
         F.when(m == 0, t)
-        .when(m == 1, F.upper(t))
+        .when(m == 1, F.translate(t, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         .when(m == 2, F.regexp_replace(t, r"^(\w)(\w+)", "$1x$2"))
         .when(m == 3, F.concat(t, F.lit(" zwei neue woerter")))
-        .when(m == 4, F.regexp_replace(t, r"^\S+", "Ganz"))
+        .when(m == 4, F.regexp_replace(t, r"^\S+", "Qqqq"))
         .otherwise(F.coalesce(F.nullif(F.col("desc"), F.lit("")), F.lit("nothing left of it")))
     )
     first = F.when(m == 5, F.col("desc"))
@@ -513,7 +513,24 @@ def revised(spark, sf):
     return store, h.select("id", new.alias("title"))
 
 
-@query("j4_title_revisions")
+def _words_sql(x):
+    return f"list_distinct(regexp_extract_all({base.fold1(x)}, '[a-z0-9]+'))"
+
+
+def _changed_sql(gone, came):
+    """Two words differ, and not just by one letter put in: of n letters, that gives the ratio 2n / (2n + 1); other single words have no letter in common."""
+    put_in = f"({came}[1] = substr({gone}[1], 1, 1) || 'x' || substr({gone}[1], 2) AND 2.0 * length({gone}[1]) / (2 * length({gone}[1]) + 1) >= 0.8)"
+    return f"(len({gone}) + len({came}) >= 2 AND NOT (len({gone}) = 1 AND len({came}) = 1 AND {put_in}))"
+
+
+@query(
+    "j4_title_revisions",
+    rf"""WITH {HEADLINES}, r AS (SELECT id, title, CASE doc_id % 6 WHEN 5 THEN "desc" ELSE title END AS first, CASE doc_id % 6 WHEN 0 THEN title WHEN 1 THEN translate(title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN regexp_replace(title, '^(\w)(\w+)', '\1x\2')
+      WHEN 3 THEN title || ' zwei neue woerter' WHEN 4 THEN regexp_replace(title, '^\S+', 'Qqqq') ELSE CASE WHEN "desc" <> '' THEN "desc" ELSE 'nothing left of it' END END AS new FROM h),
+    w AS (SELECT *, {_words_sql('title')} AS a, {_words_sql('first')} AS f, {_words_sql('new')} AS b FROM r),
+    d AS (SELECT *, list_filter(a, lambda x: NOT list_contains(b, x)) AS g1, list_filter(b, lambda x: NOT list_contains(a, x)) AS c1, list_filter(f, lambda x: NOT list_contains(b, x)) AS g2, list_filter(b, lambda x: NOT list_contains(f, x)) AS c2 FROM w)
+    SELECT id, new AS title, first AS anterior FROM d WHERE title <> new AND {_changed_sql('g1', 'c1')} AND {_changed_sql('g2', 'c2')}""",
+)
 def j4(spark, sf):
     store, incoming = revised(spark, sf)
     return ingest.title_revisions(store, incoming)

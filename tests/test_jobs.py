@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
@@ -13,6 +14,7 @@ from pressloom.functions import chain, dates, places, text, urls, verdicts
 from pressloom.operators import alerts, evidence, ingest, operations, place_check, tagging
 from pressloom.operators.leaders import LOOSE, STRICT, first_wins, similar_leaders
 from pressloom.sources import store as store_source
+from pressloom.streaming import jobs
 
 
 def column(spark, values, expression):
@@ -202,3 +204,24 @@ def test_a_failed_check_keeps_the_published_version(spark, tmp_path):
 def test_no_live_source_fails_the_run(spark):
     with pytest.raises(operations.GateFailed):
         operations.require_a_live_source(spark.createDataFrame([("a", False)], "source string, ok boolean"))
+
+
+def test_streams_of_several_batches_equal_their_batch_twins(spark, tmp_path):
+    rng = random.Random(11)
+    start = datetime(2024, 1, 1)
+    rows = [(f"s{rng.randint(0, 4)}", start + timedelta(minutes=10 * i), rng.random() < 0.6, rng.choice("ab")) for i in range(200)]
+    schema = "source string, ts timestamp, ok boolean, topic string"
+    for i in range(4):  # files in the order of their times, one batch each
+        spark.createDataFrame(rows[50 * i : 50 * i + 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    health = jobs.drain(jobs.source_health(arriving()), str(tmp_path / "health"), "update", ["source"]).collect()
+    for r in health:
+        own = [(ts, ok) for source, ts, ok, _ in rows if source == r["source"]]
+        last = max((ts for ts, ok in own if ok), default=None)
+        down = [ts for ts, ok in own if not ok and (last is None or ts > last)]
+        assert (r["down_since"], r["last_ok"]) == (f"{min(down):%Y-%m-%d %H:00}" if down else "", f"{last:%Y-%m-%d}" if last else "")
+    assert len(health) == 5
+    windows = jobs.coverage_windows(arriving().withColumnRenamed("ts", "published"), "1 hour")
+    got = {(r["start"], r["topic"]): r["headlines"] for r in jobs.drain(windows, str(tmp_path / "windows"), "update", ["start", "topic"]).collect()}
+    expected = Counter((ts.replace(minute=0), topic) for _, ts, _, topic in rows)
+    assert got == dict(expected)
