@@ -62,8 +62,9 @@ def frequent_words(counts: DataFrame, most: int = HELD) -> list[tuple[bytes, int
         if held > most:
             break
         least = row["n"]
-    rows = short.where(F.col("n") >= least).collect()  # at most ``most`` words of LONGEST bytes
-    return sorted(((r["word"].encode(), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    rows = short.where(F.col("n") >= least).toArrow()  # at most ``most`` words of LONGEST bytes
+    words = rows.column("word").cast("binary").to_pylist()
+    return sorted(zip(words, rows.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
 def _units(words: list[bytes], number: dict[bytes, int]) -> list[int]:
