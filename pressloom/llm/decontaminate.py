@@ -4,7 +4,8 @@ The items are the indexed texts and every passage of every document is a query.
 own best score, so one threshold holds for all. Passages are two neighbouring stretches of as many words as the longest item has, so an item's copy is
 whole within one. The items are held in blocks with the greatest weight of each term in each block (block-max WAND): a block is read only if
 the maxima of the passage's terms reach the threshold together, and then each of its items is scored. All items above the threshold are
-retrieved; the document is contaminated if word runs of both the item's question and its answer are in it.
+retrieved; the document is contaminated if word runs of both the item's question and its answer are in it. A question or answer shorter
+than a run is one run of its own length.
 
 The index goes to the tasks in parts of ``ITEMS`` items at most, one pass over the documents each, so its size is bounded whatever the benchmark's.
 
@@ -69,6 +70,11 @@ def runs(words: np.ndarray, n: int) -> np.ndarray:
     return Prefix(words).grams(min(n, len(words))) if len(words) else words
 
 
+def overlap(wanted: np.ndarray, n: int, own: np.ndarray) -> float:
+    """Share of the wanted runs of n words that a text with the words ``own`` has; 1 if none are wanted."""
+    return float(np.isin(wanted, runs(own, n)).mean()) if len(wanted) else 1.0
+
+
 @dataclass(frozen=True)
 class Index:
     ids: list[int | None]
@@ -77,6 +83,7 @@ class Index:
     block_max: np.ndarray  # terms x blocks
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    run: list[tuple[int, int]]  # words in a run of each item's question and answer: fewer where the whole is shorter
     stretch: int
 
 
@@ -96,7 +103,7 @@ def build_index(items: list, frequency: dict[str, int], total: int, average: flo
     best = weight.sum(0)
     weight /= np.where(best > 0, best, 1)
     block_max = weight.reshape(len(vocabulary), weight.shape[1] // BLOCK, BLOCK).max(2)
-    return Index([i for i, _, _ in items], hashed[order], weight, block_max, [runs(_hashes(q), QUESTION_RUN) for _, q, _ in items], [runs(_hashes(a), ANSWER_RUN) for _, _, a in items], stretch)
+    return Index([i for i, _, _ in items], hashed[order], weight, block_max, [runs(_hashes(q), QUESTION_RUN) for _, q, _ in items], [runs(_hashes(a), ANSWER_RUN) for _, _, a in items], [(min(QUESTION_RUN, len(q)), min(ANSWER_RUN, len(a))) for _, q, a in items], stretch)
 
 
 def retrieve(index: Index, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +165,7 @@ def _scanning(held) -> object:
                 hashes, at = term_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for t, i, score in zip(*(x.tolist() for x in retrieve(index, hashes, at)), strict=True):
                     own = hashes[at[t] : at[t + 1]]
-                    shares = [float(np.isin(wanted, runs(own, n)).mean()) if len(wanted) else 1.0 for wanted, n in ((index.question[i], QUESTION_RUN), (index.answer[i], ANSWER_RUN))]
+                    shares = [overlap(wanted, n, own) for wanted, n in zip((index.question[i], index.answer[i]), index.run[i], strict=True)]
                     out.append((ids[a + t].as_py(), index.ids[i], float(score), *shares))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate([pa.int64(), pa.int64(), *[pa.float64()] * 3])], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 

@@ -54,6 +54,20 @@ def test_leaks(spark):
     assert [r["doc_id"] for r in decontaminate.find_items(spark.createDataFrame(both, SCHEMA), asked).where("contaminated").collect()] == [90]
 
 
+def test_leaks_of_short_items(spark):
+    rng = random.Random(11)
+    around = lambda s: " ".join([*words(rng, 30), s, *words(rng, 30)])
+    items = [(1, "what is the chief town of the old land of gorm", "Paris"), (2, "sum of forty zu", "option B"), (3, "who wrote Quixotl", "the man of Lepanth himself"), (4, "Zweibrug", "1477")]
+    rows = [(100 + i, around(f"{q}? {a}."), "en", "a", 1) for i, q, a in items] + [(110 + i, around(f"{q}?"), "en", "a", 1) for i, q, _ in items] + [(120, items[0][1], "en", "a", 1)]
+    asked = spark.createDataFrame(items, "item_id long, question string, answer string")
+    found = decontaminate.find_items(spark.createDataFrame(rows, SCHEMA), asked).where("contaminated").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(100 + i, i) for i, _, _ in items}
+    whole = spark.createDataFrame([(i, f"{q} {a}") for i, q, a in [(5, "mur tel", "pons"), (6, "arvo bask celt dorn eft fal", "gild hax")]], "item_id long, text string")
+    copies = [(130, around("Mur, tel: pons"), "en", "a", 1), (131, around("arvo bask celt dorn eft fal gild hax"), "en", "a", 1), (132, around("mur tel"), "en", "a", 1)]
+    found = decontaminate.find_items(spark.createDataFrame(copies, SCHEMA), whole).where("contaminated").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(130, 5), (131, 6)}
+
+
 def test_grades(spark):
     rng = random.Random(10)
     rows, ratings = [], []
