@@ -1,9 +1,11 @@
 """Brown class-based language model: exchange clustering, then log10 P(text) = sum of log10 P(class | class before) + log10 P(word | class).
 
-Tokens are lower-cased words and one end a text. The counts of all words of the training texts are a table. The most frequent ``CLUSTERED``
-words are clustered one by one; any other word belongs to one of ``ENDINGS`` groups by its last bytes, and each group is clustered like
-a word. Exchange: in each round the tasks count how often each of these meets each class before and after it, over the whole
-training corpus; then every one in turn moves to the class that raises the likelihood of the class bigrams most. Counts are bounded by the model's size.
+Tokens are lower-cased words and one end a text. The counts of all words of the training texts are a table. The most frequent
+``CLUSTERED`` words and all other held words (see below) with ``LEAST`` occurrences or more are clustered; any other word belongs to one of ``ENDINGS`` groups by its last bytes, and each group is clustered like
+a word. Exchange: the tasks count how often each word meets each class before and after it, over the whole training corpus. Of the most
+frequent ``CLUSTERED`` words and the groups, every one in turn moves to the class that raises the likelihood of the class bigrams most;
+then the tasks move each other word so, against the class bigrams counted anew. The two steps take turns until neither
+raises the classes' mutual information by the share ``STILL``; a step that lowers it is undone. Counts in the driver are bounded by the model's size.
 
 Smoothing: a class transition mixes with the class's own frequency (``PRIOR`` pseudo-counts); a word's share of its class has ``ADD`` added,
 and each class keeps the share of one unseen word. So the probabilities of all words after any word sum to at most one.
@@ -30,12 +32,14 @@ from pyspark.sql import functions as F
 from pressloom.llm import base
 from pressloom.session import cut_lineage
 
-CLUSTERED, ENDINGS, CLASSES, ROUNDS = 4096, 512, 64, 5
+CLUSTERED, ENDINGS, CLASSES, STILL = 4096, 512, 64, 2e-3
 HELD, LONGEST = 1 << 18, 64
+LEAST = 20  # occurrences from which a word after the first CLUSTERED has a class of its own choice
 ADD, PRIOR = 0.1, 20.0
 END = CLUSTERED + ENDINGS  # the number of the end among the clustered units; it has a class of its own
-UNITS = END + 1
+UNITS = END + 1  # the held words after the first CLUSTERED have the numbers from here on
 ALL = CLASSES + 1
+CONTEXTS, WORDS = 1 << 20, 4096  # of a bucket of words that one row holds, about
 
 
 def ending(word: bytes) -> int:
@@ -67,8 +71,17 @@ def frequent_words(counts: DataFrame, most: int = HELD) -> list[tuple[bytes, int
     return sorted(zip(words, rows.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def _units(words: list[bytes], number: dict[bytes, int]) -> list[int]:
-    return [ending(w) if u < 0 else u for w, u in zip(words, [number.get(w, -1) for w in words], strict=True)]
+def unit_of(at: np.ndarray) -> np.ndarray:
+    """Places among the held words -> units."""
+    return at + (at >= CLUSTERED) * (ENDINGS + 1)
+
+
+def _units(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
+    at = np.array([number.get(w, -1) for w in words], np.int64)
+    out = unit_of(at)
+    for i in np.flatnonzero(at < 0).tolist():
+        out[i] = ending(words[i])
+    return out
 
 
 def _sequences(held) -> object:
@@ -76,31 +89,34 @@ def _sequences(held) -> object:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = held.value
-        units: list[int] = [END]
+        units, n = [np.array([END])], 1
         for batch in batches:
             for text in batch.column(0):
-                units += _units(tokens(text.as_py()), number)
-                units.append(END)
-                if len(units) > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array([np.array(units, np.uint16).tobytes()], pa.binary())], ["units"])
-                    units = [END]
-        if len(units) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(units, np.uint16).tobytes()], pa.binary())], ["units"])
+                units += [_units(tokens(text.as_py()), number), np.array([END])]
+                n += len(units[-2]) + 1
+                if n > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(units).astype(np.uint32).tobytes()], pa.binary())], ["units"])
+                    units, n = [np.array([END])], 1
+        if n > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(units).astype(np.uint32).tobytes()], pa.binary())], ["units"])
 
     return scan
 
 
-def _meetings(of: np.ndarray) -> object:
-    """Units -> (cell, n): cell = (unit * 2 + side) * ALL + class; side 0 counts the class before the unit, side 1 the class after it."""
+def _meetings(held) -> object:
+    """Units -> (cell, n): cell = (row * 2 + side) * ALL + class; side 0 counts the class before the unit, side 1 the class after it.
+    Rows are the units below UNITS, then one for each class, of all its other words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(UNITS * 2 * ALL, np.int64)
+        of = held.value
+        row = np.append(np.arange(UNITS), UNITS + of[UNITS:])
+        total = np.zeros((UNITS + ALL) * 2 * ALL, np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                unit = np.frombuffer(row.as_py(), np.uint16).astype(np.int64)
-                cls = of[unit]
-                total += np.bincount(unit[1:] * 2 * ALL + cls[:-1], minlength=len(total))
-                total += np.bincount((unit[:-1] * 2 + 1) * ALL + cls[1:], minlength=len(total))
+            for units in batch.column(0):
+                unit = np.frombuffer(units.as_py(), np.uint32).astype(np.int64)
+                cls, own = of[unit], row[unit]
+                total += np.bincount(own[1:] * 2 * ALL + cls[:-1], minlength=len(total))
+                total += np.bincount((own[:-1] * 2 + 1) * ALL + cls[1:], minlength=len(total))
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
@@ -108,11 +124,107 @@ def _meetings(of: np.ndarray) -> object:
 
 
 def meetings(sequences: DataFrame, of: np.ndarray) -> np.ndarray:
-    """units x 2 x classes: how often each unit meets each class; at most UNITS * 2 * ALL numbers reach the driver."""
-    found = sequences.mapInArrow(_meetings(of), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(UNITS * 2 * ALL)
+    """rows x 2 x classes: how often each unit meets each class; at most (UNITS + ALL) * 2 * ALL numbers reach the driver."""
+    held = sequences.sparkSession.sparkContext.broadcast(of)
+    found = sequences.mapInArrow(_meetings(held), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    held.destroy()
+    out = np.zeros((UNITS + ALL) * 2 * ALL)
     out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(float)
-    return out.reshape(UNITS, 2, ALL)
+    return out.reshape(UNITS + ALL, 2, ALL)
+
+
+def _contexts(buckets: int) -> object:
+    """Units -> bucket, contexts of the held words after the first CLUSTERED: (word * 2 + side) << 32 | neighbour."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for units in batch.column(0):
+                unit = np.frombuffer(units.as_py(), np.uint32).astype(np.int64)
+                at = np.flatnonzero(unit >= UNITS)  # an end stands at both edges, so each has two neighbours
+                word = (unit[at] - UNITS) * 2
+                key = np.concatenate([word << 32 | unit[at - 1], (word + 1) << 32 | unit[at + 1]])
+                bucket = (key >> 33) % buckets
+                order = np.argsort(bucket, kind="stable")
+                own, first = np.unique(bucket[order], return_index=True)
+                parts = np.split(key[order], first[1:]) if len(own) else []
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "contexts"])
+
+    return scan
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """One row for each bucket: its distinct contexts and their counts."""
+    key, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("contexts")]), return_counts=True)
+    return pa.table({"contexts": pa.array([key.tobytes()], pa.binary()), "times": pa.array([n.astype(np.int64).tobytes()], pa.binary())})
+
+
+def contexts(sequences: DataFrame, rest: int, tokens: int) -> DataFrame:
+    """The contexts of the ``rest`` words after the first CLUSTERED, a row for each bucket of words; each of them is at most one of CLUSTERED tokens."""
+    buckets = max(1, -(-2 * tokens // CONTEXTS), -(-rest // WORDS))
+    dealt = sequences.mapInArrow(_contexts(buckets), "bucket long, contexts binary")
+    return cut_lineage(dealt.groupBy("bucket").applyInArrow(_counted, "contexts binary, times binary"))
+
+
+def best_classes(word: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """For each of the words 0, 1, ..., in class ``own`` now: the class that raises the likelihood of the class bigrams most."""
+    met = np.bincount((word * 2 + side) * ALL + cls, n, len(own) * 2 * ALL)
+    total = np.bincount(word[side == 1], n[side == 1], len(own))[:, None]
+    cell = np.flatnonzero(met)
+    word, base, met = cell // (2 * ALL), np.concatenate([pairs, pairs.T]), met[cell][:, None]
+    gain = np.zeros((len(own), ALL))
+    for a in range(0, len(cell), 1 << 15):
+        w, m = word[a : a + (1 << 15)], met[a : a + (1 << 15)]
+        x = base[cell[a : a + (1 << 15)] % (2 * ALL)]
+        at = np.arange(len(w)), own[w]
+        x[at] = np.maximum(x[at] - m[:, 0], 0)  # without the word itself
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        gain[w[first]] += np.add.reduceat(_xlogx(x + m) - _xlogx(x), first, axis=0)
+    for sums in (pairs.sum(1), pairs.sum(0)):
+        x = np.tile(sums, (len(own), 1))
+        at = np.arange(len(own)), own
+        x[at] = np.maximum(x[at] - total[:, 0], 0)
+        gain -= _xlogx(x + total) - _xlogx(x)
+    best = gain[:, :CLASSES].argmax(1)
+    every = np.arange(len(own))
+    return np.where(gain[every, best] > gain[every, own] + 1e-9, best, own)
+
+
+def _moves(held) -> object:
+    """Contexts -> unit, class of all words that move."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, pairs = held.value
+        for batch in batches:
+            for keys, times in zip(batch.column(0), batch.column(1), strict=True):
+                key, n = np.frombuffer(keys.as_py(), np.int64), np.frombuffer(times.as_py(), np.int64)
+                unit, word = np.unique((key >> 33) + UNITS, return_inverse=True)
+                best = best_classes(word, (key >> 32) & 1, of[key & 0xFFFFFFFF], n, of[unit], pairs)
+                moved = best != of[unit]
+                yield pa.RecordBatch.from_arrays([pa.array(unit[moved]), pa.array(best[moved])], ["unit", "class"])
+
+    return scan
+
+
+def exchange_rest(found: DataFrame, of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Each held word after the first CLUSTERED moves to its best class; at most HELD rows reach the driver."""
+    held = found.sparkSession.sparkContext.broadcast((of, pairs))
+    moves = found.mapInArrow(_moves(held), "unit long, class long").toArrow()
+    held.destroy()
+    of = of.copy()
+    of[moves.column("unit").to_numpy()] = moves.column("class").to_numpy()
+    return of
+
+
+def class_pairs(met: np.ndarray, of: np.ndarray) -> np.ndarray:
+    pairs = np.zeros((ALL, ALL))
+    np.add.at(pairs, np.append(of[:UNITS], np.arange(len(met) - UNITS)), met[:, 1])
+    return pairs
+
+
+def information(pairs: np.ndarray) -> float:
+    """Mutual information of neighbouring classes, by the token: the part of the likelihood that the classes decide."""
+    total = max(pairs.sum(), 1)
+    return float((_xlogx(pairs).sum() - _xlogx(pairs.sum(0)).sum() - _xlogx(pairs.sum(1)).sum() + _xlogx(total)) / total)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -122,8 +234,7 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 def exchange(met: np.ndarray, of: np.ndarray) -> np.ndarray:
     """One round: each unit in turn moves to the class that raises the likelihood of the class bigrams most."""
     of = of.copy()
-    pairs = np.zeros((ALL, ALL))
-    np.add.at(pairs, of, met[:, 1])
+    pairs = class_pairs(met, of)
     for u in np.argsort(-met[:END].sum((1, 2)), kind="stable"):
         before, after = met[u]
         total = after.sum()
@@ -146,7 +257,8 @@ def exchange(met: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    number: dict[bytes, int]  # held words, by frequency; the first CLUSTERED are units
+    number: dict[bytes, int]  # held words, by frequency
+    clustered: int  # of them have classes of their own choice
     count: np.ndarray  # of the held words
     of: np.ndarray  # class of each unit
     step: np.ndarray  # log10 P(class | class before)
@@ -159,14 +271,14 @@ class Model:
         return float(np.log10(self.total + ADD * (self.kinds + 1)))
 
 
-def _class_sizes(held) -> object:
+def _class_sizes(held, of: np.ndarray) -> object:
     """word, n -> class, words, tokens."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, of = held.value
+        number = held.value
         kinds, total = np.zeros(ALL, np.int64), np.zeros(ALL, np.int64)
         for batch in batches:
-            cls = of[np.array(_units([w.encode() for w in batch.column(0).to_pylist()], number), np.int64)]
+            cls = of[_units([w.encode() for w in batch.column(0).to_pylist()], number)]
             kinds += np.bincount(cls, minlength=ALL)
             total += np.bincount(cls, batch.column(1).to_numpy(), minlength=ALL).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(ALL)), pa.array(kinds), pa.array(total)], ["class", "words", "tokens"])
@@ -174,6 +286,26 @@ def _class_sizes(held) -> object:
     return scan
 
 
+def cluster(sequences: DataFrame, found: DataFrame | None, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two steps in turn from ``of`` on, until each has failed once in a row -> classes, and their bigrams."""
+    met = meetings(sequences, of)
+    pairs = class_pairs(met, of)
+    step = failed = 0
+    while failed < (1 if found is None else 2):
+        if found is None or step % 2 == 0:
+            moved = np.append(exchange(met, of[:UNITS]), of[UNITS:])
+        else:
+            moved = exchange_rest(found, of, pairs)
+        met_then = meetings(sequences, moved)
+        then = class_pairs(met_then, moved)
+        gain = information(then) - information(pairs)
+        failed = 0 if gain > STILL * information(pairs) else failed + 1
+        if gain > 0:
+            of, met, pairs = moved, met_then, then
+        step += 1
+    return of, pairs
+
+
 def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     """``docs`` (text without nulls) -> the model, and the table of all words' counts (word hash, n)."""
     spark = docs.sparkSession
@@ -182,23 +314,22 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     words, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequent = frequent_words(counts)
     number = {w: i for i, (w, _) in enumerate(frequent)}
-    clustered = {w: i for w, i in number.items() if i < CLUSTERED}
-    sequences = cut_lineage(docs.select("text").mapInArrow(_sequences(spark.sparkContext.broadcast(clustered)), "units binary"))
-    of = np.append(np.arange(END) % CLASSES, CLASSES)
-    for _ in range(ROUNDS):
-        of = exchange(meetings(sequences, of), of)
-    met = meetings(sequences, of)
-    pairs = np.zeros((ALL, ALL))
-    np.add.at(pairs, of, met[:, 1])
+    rest = [w for w, n in frequent[CLUSTERED:] if n >= LEAST]
+    clustered = dict(list(number.items())[: CLUSTERED + len(rest)])
+    held = spark.sparkContext.broadcast(clustered)
+    sequences = cut_lineage(docs.select("text").mapInArrow(_sequences(held), "units binary"))
+    found = contexts(sequences, len(rest), sum(n for _, n in frequent[CLUSTERED : CLUSTERED + len(rest)])) if rest else None
+    of = np.concatenate([np.arange(END) % CLASSES, [CLASSES], np.array([ending(w) % CLASSES for w in rest], np.int64)])
+    of, pairs = cluster(sequences, found, of)
     own = pairs.sum(0) + 0.5
     step = np.log10((pairs + PRIOR * own / own.sum()) / (pairs.sum(1, keepdims=True) + PRIOR))
-    sizes = counts.mapInArrow(_class_sizes(spark.sparkContext.broadcast((clustered, of))), "class long, words long, tokens long").groupBy("class").agg(F.sum("words"), F.sum("tokens")).collect()
+    sizes = counts.mapInArrow(_class_sizes(held, of), "class long, words long, tokens long").groupBy("class").agg(F.sum("words"), F.sum("tokens")).collect()
     kinds, size = np.zeros(ALL), np.zeros(ALL)
     for c, k, n in sizes:
         kinds[c], size[c] = k, n
     kinds[CLASSES], size[CLASSES] = (1, texts) if texts else (0, 0)
     count = np.array([n for _, n in frequent], np.int64)
-    model = Model(number, count, of, step, np.log10(size + ADD * (kinds + 1)), int(total + texts), int(words + (texts > 0)))
+    model = Model(number, len(clustered), count, of, step, np.log10(size + ADD * (kinds + 1)), int(total + texts), int(words + (texts > 0)))
     return model, counts.select(F.xxhash64("word").alias("hash"), "n", "word")
 
 
@@ -208,9 +339,7 @@ _LOCAL = "key long, doc_id long, held_out boolean, n_tokens long, known long, st
 def _scoring(held, ends: int) -> object:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        class_of_held = m.of[np.minimum(np.arange(len(m.number)), CLUSTERED - 1)] if m.number else np.zeros(0, np.int64)
-        for i, w in enumerate(list(m.number)[CLUSTERED:], CLUSTERED):
-            class_of_held[i] = m.of[ending(w)]
+        class_of_held = np.append(m.of[unit_of(np.arange(m.clustered))], [m.of[ending(w)] for w in list(m.number)[m.clustered :]]).astype(np.int64)
         logs = np.log10(m.count + ADD)
         end = float(np.log10(ends + ADD))
         for batch in batches:

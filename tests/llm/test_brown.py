@@ -63,3 +63,42 @@ def test_exchange_separates_alternating_words():
 def test_nothing_to_learn_from(spark):
     _, got = _score(spark, empty(spark))
     assert got == []
+
+
+def test_best_class_by_the_whole_likelihood():
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(20, 90, (brown.ALL, brown.ALL)).astype(float)
+    own, met = np.array([4, 9, 7]), np.zeros((3, 2, brown.ALL))
+    for w in range(3):  # as many neighbours before as after
+        for side in range(2):
+            np.add.at(met[w, side], rng.choice([20, 21, 33, 64], 6), 1)
+        pairs[own[w]] += met[w, 1]
+        pairs[:, own[w]] += met[w, 0]
+    likelihood = lambda p: (brown._xlogx(p).sum() - brown._xlogx(p.sum(0)).sum() - brown._xlogx(p.sum(1)).sum())
+    expected = []
+    for w in range(3):
+        without = pairs.copy()
+        without[own[w]] -= met[w, 1]
+        without[:, own[w]] -= met[w, 0]
+        after = []
+        for c in range(brown.CLASSES):
+            p = without.copy()
+            p[c] += met[w, 1]
+            p[:, c] += met[w, 0]
+            after.append(likelihood(p))
+        expected.append(int(np.argmax(after)))
+    word, side, cls = np.nonzero(met)
+    assert brown.best_classes(word, side, cls, met[word, side, cls], own, pairs).tolist() == expected
+
+
+def test_words_past_the_most_frequent_get_their_own_class(spark):
+    rng = np.random.default_rng(4)
+    common = [f"c{i}" for i in range(brown.CLUSTERED)]
+    lines = [" ".join(rng.permutation(common)) for _ in range(12)]
+    kinds = [[f"{k}{i}xyz" for i in range(40)] for k in "pq"]  # one ending for all, so one class for all by their ending
+    for _ in range(brown.LEAST + 5):
+        lines += [f"pre {w} mid" for w in kinds[0]] + [f"mid {w} pre" for w in kinds[1]]
+    docs = spark.createDataFrame([(line,) for line in lines], "text string")
+    model, _ = brown.learn(docs)
+    of = [Counter(model.of[brown.unit_of(np.array([model.number[w.encode()] for w in ws]))].tolist()) for ws in kinds]
+    assert not of[0].keys() & of[1].keys()
