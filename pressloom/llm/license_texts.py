@@ -65,6 +65,24 @@ KNOWN = [
     ("LicenseRef-all-rights-reserved", "notice", "All rights reserved."),
 ]
 
+#: (identifier, SHA-256 of the normal form) of whole licences, as Debian's /usr/share/common-licenses has them
+DIGESTS = [
+    ("Apache-2.0", "e5d90203a471e0440f9b374f379cad070607d6989eadb9a6266330a1fee20d61"),
+    ("Artistic-1.0-Perl", "7684e7ab2b843b2ea93db77f1db7f373c6a2c3be0cb5c87cb97f1c1752ab1cf4"),
+    ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142"),
+    ("GFDL-1.3", "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f"),
+    ("LGPL-2.0", "e2c319279ddf282349927826fd110bdb5b471edc3a726a66fe333c8184a4b135"),
+    ("LGPL-2.1", "13cd11e9ccd3aae212d64d9b0f62b3a67f21019c6a65212e582b2cbbeb91cb70"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "d8f34206e938f630171f697f794c6d9078e93f841b8eac6d4546d2d6a1734d2a"),
+    ("MPL-2.0", "13dfde4441eb255a74418ebbd8a88e37eb73a108f5555ce529db0681924f136c"),
+]
+
 #: Pairs of spellings that count as one; the right one is written.
 SPELLINGS = [
     ("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("favour", "favor"), ("acknowledgement", "acknowledgment"),

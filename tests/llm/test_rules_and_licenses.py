@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 
@@ -71,3 +72,18 @@ def test_license_forms(spark):
     assert got[72]["notices"] == "CC-BY-NC-4.0,MIT" and got[72]["n_notice_lines"] == 2 and got[74]["n_notice_lines"] == 2
     assert license_scan.scan_licenses(empty(spark), license_scan.known_digests(spark)).count() == 0
     assert license_scan.scan_licenses(frame(spark, rows), license_scan.known_digests(spark)).count() == len(rows)
+
+
+def test_full_texts_and_marked_copyright_lines(spark):
+    folder = "/usr/share/common-licenses"
+    mit = next(t for n, k, t in KNOWN if n == "MIT" and k == "text")
+    marked = [f"{m} Copyright (c) 2020 A. Person\n{m}\n{m} {mit}" for m in ("#", "//", " *", ";;", "--")]
+    rows = [(200 + i, t, "en", "a", 1) for i, t in enumerate(marked)] + [(210, "# Copyright (c) 2020 A. Person\n# no license", "en", "a", 1)]
+    wanted = {200 + i: "MIT" for i in range(len(marked))} | {210: None}
+    for i, (file, name) in enumerate([("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]):
+        if os.path.exists(f"{folder}/{file}"):
+            text = open(f"{folder}/{file}").read()
+            rows += [(220 + i, text, "en", "a", 1), (240 + i, "".join(f"# {line}\n" for line in text.split("\n")), "en", "a", 1)]
+            wanted |= {220 + i: name, 240 + i: name}
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, SCHEMA), license_scan.known_digests(spark)).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == wanted
