@@ -3,7 +3,8 @@
 The encoding of a prefix is the encoding of a shorter prefix and one last token; which token is last follows from the last tokens of the
 shorter prefixes alone: it is the one suffix in the vocabulary that may stand after the last token of what precedes it. So the last
 tokens are states of trie nodes, and words that share a prefix share its states. Distinct words in sorted order are the trie in
-depth-first order: a stack holds the states of the current path, and the next word goes on where it leaves that path.
+depth-first order: a stack holds the states of the current path, and the next word goes on where it leaves that path. A state keeps only
+the places from which a token may still reach further; nodes that agree in these are one state, whose steps are found once.
 
 Defined results: a null or empty text has no tokens; texts are encoded whole, whatever their length; equal rows get equal results; the
 special token's text becomes its id wherever it stands; ids may be null or repeat; other columns are passed on or left out, never read.
@@ -13,8 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Iterator
+from itertools import accumulate, islice
+from operator import getitem
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pressloom.llm import base
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct words, and pairs of tokens, that a worker keeps at most; beyond that it starts anew.
+#: Distinct words (and those of one batch), states, and pairs of tokens that a worker keeps at most.
 KEPT = 200_000
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
@@ -42,6 +44,16 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class State(dict):
+    """What a prefix leaves to the next byte: next state by byte, and the last token of the prefix with its length in bytes."""
+
+    __slots__ = ("open", "token", "size", "encoder")
+
+    def __missing__(self, byte: int) -> State:
+        found = self[byte] = self.encoder.step(self, byte)
+        return found
+
+
 class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -51,40 +63,48 @@ class Encoder:
         self.text = {i: bytes(byte[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text |= {i: t.encode() for t, i in self.special.items()}
-        self.id = {self.text[i]: i for i in vocab.values()}
         self.rank: dict[tuple[int, int], int] = {}
-        parts: dict[int, tuple[int, int]] = {}
+        self.parts: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(merges):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             key = vocab[left], vocab[right]
             self.rank[key] = rank
-            parts.setdefault(vocab[left + right], key)
-        self.longest = max(map(len, self.id))
+            self.parts.setdefault(vocab[left + right], key)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        endless = len(merges)
-        self.right_side, self.left_side = {}, {}
+        # the trie of the vocabulary: node and byte -> node, and the token of a node
+        self.below: dict[int, int] = {}
+        self.token_of: dict[int, int] = {}
+        self.inner: set[int] = set()
         for token in vocab.values():
-            # the pieces that stand at a token's edge while it forms, each with the rank of the merge that ends it
-            for side, sides in ((1, self.right_side), (0, self.left_side)):
-                edge, piece, until = [], token, endless
-                while True:
-                    edge.append((piece, until))
-                    if piece not in parts:
-                        break
-                    until, piece = self.rank[parts[piece]], parts[piece][side]
-                sides[token] = edge
-        self.may_follow: dict[tuple[int, int], bool] = {}
+            node = 0
+            for b in self.text[token]:
+                self.inner.add(node)
+                node = self.below.setdefault(node << 8 | b, len(self.below) + 1)
+            self.token_of[node] = token
+        self.states: dict[tuple, State] = {}
+        self.may_follow: dict[int, bool] = {}
         self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.earlier: dict[str, tuple[int, str, bytes]] = {}
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The pieces that stand at a token's edge while it forms, each with the rank of the merge that ends it."""
+        edge, until = [], len(self.rank)
+        while True:
+            edge.append((token, until))
+            if token not in self.parts:
+                return edge
+            pair = self.parts[token]
+            until, token = self.rank[pair], pair[side]
 
     def follows(self, left: int, right: int) -> bool:
         """Whether no merge across the border comes before both tokens are formed."""
-        key = left, right
+        key = left << 32 | right
         known = self.may_follow.get(key)
         if known is None:
-            rank = self.rank
+            rank, ahead = self.rank, self._edge(right, 0)
             known = True
-            for x, x_until in self.right_side[left]:
-                for y, y_until in self.left_side[right]:
+            for x, x_until in self._edge(left, 1):
+                for y, y_until in ahead:
                     r = rank.get((x, y))
                     if r is not None and r < x_until and r <= y_until:
                         known = False
@@ -93,25 +113,51 @@ class Encoder:
             self.may_follow[key] = known
         return known
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes the distinct words by one walk over their trie."""
-        path, token_at, start_at = b"", [0], [0]
-        ids_of, follows = self.id, self.follows
+    def state(self, open_: tuple, token: int, size: int) -> State:
+        key = open_, token, size
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State()
+            found.open, found.token, found.size, found.encoder = open_, token, size, self
+        return found
+
+    def step(self, before: State, byte: int) -> State:
+        """The next state of a prefix. Its open places, the longest stretch first, are those from which a token may still reach further:
+        (token before the place, node of the vocabulary's trie for what was read since, bytes since)."""
+        out, last = [], None
+        for left, node, n in (*before.open, (before.token, 0, 0)):
+            node = self.below.get(node << 8 | byte)
+            if node is None:
+                continue
+            token = self.token_of.get(node)
+            if last is None and token is not None and (left < 0 or self.follows(left, token)):
+                last = token, n + 1
+            if node in self.inner:
+                out.append((left, node, n + 1))
+        return self.state(tuple(out), *last)
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes the distinct words by one walk over their trie: the stack holds the states of the current path, and the next word goes
+        on where it leaves that path."""
+        if len(self.states) > KEPT:
+            for state in self.states.values():
+                state.clear()
+            self.states.clear()
+        path, stack = b"", [self.state((), -1, 0)]
         for raw, word in sorted((w.encode(), w) for w in words):
-            shared = len(os.path.commonprefix((path, raw)))
-            del token_at[shared + 1 :], start_at[shared + 1 :]
-            for end in range(shared + 1, len(raw) + 1):
-                for start in range(max(0, end - self.longest), end):
-                    token = ids_of.get(raw[start:end])
-                    if token is not None and (start == 0 or follows(token_at[start], token)):
-                        break
-                token_at.append(token)
-                start_at.append(start)
+            shared = 0
+            for a, b in zip(path, raw):
+                if a != b:
+                    break
+                shared += 1
+            del stack[shared + 1 :]
+            stack += islice(accumulate(raw[shared:], getitem, initial=stack[-1]), 1, None)
             path = raw
             ids, end = [], len(raw)
             while end:
-                ids.append(token_at[end])
-                end = start_at[end]
+                state = stack[end]
+                ids.append(state.token)
+                end -= state.size
             ids.reverse()
             self.words[word] = len(ids), ",".join(map(str, ids)), self.decode_bytes(ids)
 
@@ -130,11 +176,16 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
         """For each text, its words' (number of tokens, ids, decoded bytes)."""
-        if len(self.words) > KEPT:
-            self.words.clear()
+        if len(self.words) > KEPT // 2:  # words of the last two generations are kept, so frequent ones stay
+            self.earlier, self.words = self.words, {}
         cut = [self.pieces(t) for t in texts]
-        self.learn(set().union(*cut) - self.words.keys())
-        known = self.words
+        known, earlier, new = self.words, self.earlier, []
+        for word in set().union(*cut) - known.keys():
+            if word in earlier:
+                known[word] = earlier[word]
+            else:
+                new.append(word)
+        self.learn(new)
         return [[known[p] for p in pieces] for pieces in cut]
 
     def encode(self, text: str) -> list[int]:
