@@ -1,26 +1,25 @@
 """Brown class-based language model: exchange clustering, then log10 P(text) = sum of log10 P(class | class before) + log10 P(word | class).
 
-Tokens are lower-cased words and one end a text. The counts of all words of the training texts are a table. The most frequent
-``CLUSTERED`` words and all other held words (see below) with ``LEAST`` occurrences or more are clustered; any other word belongs to one of ``ENDINGS`` groups by its last bytes, and each group is clustered like
-a word. Exchange: the tasks count how often each word meets each class before and after it, over the whole training corpus. Of the most
-frequent ``CLUSTERED`` words and the groups, every one in turn moves to the class that raises the likelihood of the class bigrams most;
-then the tasks move each other word so, against the class bigrams counted anew. The two steps take turns until neither
-raises the classes' mutual information by the share ``STILL``; a step that lowers it is undone. Counts in the driver are bounded by the model's size.
+Tokens are lower-cased words and one end a text. Words are known by hashes of 64 bits, so a model is a few arrays. The counts of all words
+of the training texts are a table. The ``HELD`` most frequent words (at most; all of a frequency or none) with ``LEAST`` occurrences or
+more are clustered; any other word belongs to one of ``ENDINGS`` groups by its last bytes, and each group is clustered like a word.
+Exchange: the tasks count how often each word meets each class before and after it, over the whole training corpus. Of the most frequent
+``CLUSTERED`` words and the groups, every one in turn moves to the class that raises the likelihood of the class bigrams most; then the
+tasks move each other word so, against the class bigrams counted anew. The two steps take turns until neither raises the classes'
+mutual information by the share ``STILL``; a step that lowers it is undone. Counts in the driver are bounded by the model's size.
 
 Smoothing: a class transition mixes with the class's own frequency (``PRIOR`` pseudo-counts); a word's share of its class has ``ADD`` added,
 and each class keeps the share of one unseen word. So the probabilities of all words after any word sum to at most one.
 
-The counts of the most frequent ``HELD`` words (at most; none over ``LONGEST`` bytes) go to the tasks; all others' counts come by a join.
+The counts of the held words go to the tasks; all others' counts come by a join.
 
-Defined results: a null or empty text is one end; texts are scored whole; equal rows get equal scores; ties in frequency go by the word;
+Defined results: a null or empty text is one end; texts are scored whole; equal rows get equal scores; ties in frequency go by the hash;
 with nothing to learn from, scores are those of the smoothing alone; ids may be null (their remainder is that of the text 'null') or
-repeat; other columns are not read. Rare words are joined by 64-bit hashes.
+repeat; other columns are not read. Two words of one hash would count as one word.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,45 +29,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.llm import base
+from pressloom.llm.hashing import buffer, chunks, mix, words
 from pressloom.session import cut_lineage
 
 CLUSTERED, ENDINGS, CLASSES, STILL = 4096, 512, 64, 2e-3
-HELD, LONGEST = 1 << 18, 64
-LEAST = 20  # occurrences from which a word after the first CLUSTERED has a class of its own choice
+HELD = 1 << 18
+LEAST = 3  # occurrences from which a word after the first CLUSTERED has a class of its own choice
 ADD, PRIOR = 0.1, 20.0
 END = CLUSTERED + ENDINGS  # the number of the end among the clustered units; it has a class of its own
 UNITS = END + 1  # the held words after the first CLUSTERED have the numbers from here on
 ALL = CLASSES + 1
 CONTEXTS, WORDS = 1 << 20, 4096  # of a bucket of words that one row holds, about
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
-def ending(word: bytes) -> int:
-    return CLUSTERED + zlib.crc32(word[-3:]) % ENDINGS
+def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each million bytes of whole texts: the words' hashes, the groups of their endings, and the texts' offsets among the words."""
+    data, offsets = buffer(column)
+    for first, last in chunks(offsets):
+        own = offsets[first : last + 1]
+        part = LOWER[data[own[0] : own[-1]]]
+        starts, ends, hashes, at = words(part, own - own[0])
+        tail = np.zeros(len(starts), np.uint64)
+        for back in (1, 2, 3):
+            place = ends - back
+            tail = tail << np.uint64(8) | np.where(place >= starts, part[np.maximum(place, 0)] if len(part) else 0, 0).astype(np.uint64)
+        yield hashes, CLUSTERED + (mix(tail + np.uint64(1)) % np.uint64(ENDINGS)).astype(np.int64), at
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``docs`` (text) -> hash, ending, n of all words of all texts; a task adds up a few million words at a time before they are dealt."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` (text) -> word, n over all texts."""
-    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return docs.select(F.explode(F.split(low, f"[{base.SPACE_CLASS}]+")).alias("word")).where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
+        def added() -> pa.RecordBatch:
+            hashes, endings = (np.concatenate(x) for x in zip(*held))
+            key, first, times = np.unique(hashes, return_index=True, return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(endings[first], pa.int32()), pa.array(times, pa.int64())], ["hash", "ending", "n"])
+
+        for batch in batches:
+            for hashes, endings, _ in tokens(batch.column(0)):
+                held.append((hashes, endings))
+                n += len(hashes)
+                if n > 1 << 21:
+                    yield added()
+                    n = 0
+        if held:
+            yield added()
+
+    return docs.select("text").mapInArrow(count, "hash long, ending int, n long").groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int = HELD) -> list[tuple[bytes, int]]:
-    """The words of all frequencies so high that no more than ``most`` words have them, by frequency and word."""
-    short = counts.where(F.octet_length("word") <= LONGEST)
-    by_count = short.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n"))
+def frequent_words(counts: DataFrame, most: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and endings of the words of all frequencies so high that no more than ``most`` (``HELD``) words have them, by frequency and hash."""
+    by_count = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n"))
     least, held = 1 << 62, 0
     for row in by_count.toLocalIterator():
         held += row["words"]
-        if held > most:
+        if held > (most or HELD):
             break
         least = row["n"]
-    rows = short.where(F.col("n") >= least).toArrow()  # at most ``most`` words of LONGEST bytes
-    words = rows.column("word").cast("binary").to_pylist()
-    return sorted(zip(words, rows.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    rows = counts.where(F.col("n") >= least).toArrow()  # at most ``most`` rows of three numbers
+    key, n, endings = (rows.column(c).to_numpy() for c in ("hash", "n", "ending"))
+    order = np.lexsort((key, -n))
+    return key[order].view(np.uint64), n[order], endings[order]
+
+
+class Places:
+    """Hashes of held words -> their places by frequency, -1 for any other word."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys).astype(np.int32)
+        self.keys = keys[self.order]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.order[at], -1).astype(np.int64)
 
 
 def unit_of(at: np.ndarray) -> np.ndarray:
@@ -76,29 +120,26 @@ def unit_of(at: np.ndarray) -> np.ndarray:
     return at + (at >= CLUSTERED) * (ENDINGS + 1)
 
 
-def _units(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
-    at = np.array([number.get(w, -1) for w in words], np.int64)
-    out = unit_of(at)
-    for i in np.flatnonzero(at < 0).tolist():
-        out[i] = ending(words[i])
-    return out
-
-
 def _sequences(held) -> object:
     """Texts -> one row for each batch of about a million tokens: the units, ends included."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = held.value
+        place = held.value
         units, n = [np.array([END])], 1
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(units).astype(np.uint32).tobytes()], pa.binary())], ["units"])
+
         for batch in batches:
-            for text in batch.column(0):
-                units += [_units(tokens(text.as_py()), number), np.array([END])]
-                n += len(units[-2]) + 1
+            for hashes, endings, at in tokens(batch.column(0)):
+                own = place(hashes)
+                units.append(np.insert(np.where(own < 0, endings, unit_of(own)), at[1:], END))
+                n += len(units[-1])
                 if n > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(units).astype(np.uint32).tobytes()], pa.binary())], ["units"])
+                    yield row()
                     units, n = [np.array([END])], 1
         if n > 1:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(units).astype(np.uint32).tobytes()], pa.binary())], ["units"])
+            yield row()
 
     return scan
 
@@ -143,25 +184,28 @@ def _contexts(buckets: int) -> object:
                 at = np.flatnonzero(unit >= UNITS)  # an end stands at both edges, so each has two neighbours
                 word = (unit[at] - UNITS) * 2
                 key = np.concatenate([word << 32 | unit[at - 1], (word + 1) << 32 | unit[at + 1]])
+                key, n = np.unique(key, return_counts=True)
                 bucket = (key >> 33) % buckets
                 order = np.argsort(bucket, kind="stable")
                 own, first = np.unique(bucket[order], return_index=True)
-                parts = np.split(key[order], first[1:]) if len(own) else []
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "contexts"])
+                keys, times = (np.split(x[order], first[1:]) if len(own) else [] for x in (key, n.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([t.tobytes() for t in times], pa.binary())], ["bucket", "contexts", "times"])
 
     return scan
 
 
 def _counted(rows: pa.Table) -> pa.Table:
     """One row for each bucket: its distinct contexts and their counts."""
-    key, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("contexts")]), return_counts=True)
+    every = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("contexts")])
+    key, at = np.unique(every, return_inverse=True)
+    n = np.bincount(at, np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in rows.column("times")]), len(key))
     return pa.table({"contexts": pa.array([key.tobytes()], pa.binary()), "times": pa.array([n.astype(np.int64).tobytes()], pa.binary())})
 
 
 def contexts(sequences: DataFrame, rest: int, tokens: int) -> DataFrame:
     """The contexts of the ``rest`` words after the first CLUSTERED, a row for each bucket of words; each of them is at most one of CLUSTERED tokens."""
     buckets = max(1, -(-2 * tokens // CONTEXTS), -(-rest // WORDS))
-    dealt = sequences.mapInArrow(_contexts(buckets), "bucket long, contexts binary")
+    dealt = sequences.mapInArrow(_contexts(buckets), "bucket long, contexts binary, times binary")
     return cut_lineage(dealt.groupBy("bucket").applyInArrow(_counted, "contexts binary, times binary"))
 
 
@@ -257,7 +301,7 @@ def exchange(met: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    number: dict[bytes, int]  # held words, by frequency
+    place: Places  # held words, by frequency
     clustered: int  # of them have classes of their own choice
     count: np.ndarray  # of the held words
     of: np.ndarray  # class of each unit
@@ -270,20 +314,10 @@ class Model:
     def divisor(self) -> float:
         return float(np.log10(self.total + ADD * (self.kinds + 1)))
 
-
-def _class_sizes(held, of: np.ndarray) -> object:
-    """word, n -> class, words, tokens."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = held.value
-        kinds, total = np.zeros(ALL, np.int64), np.zeros(ALL, np.int64)
-        for batch in batches:
-            cls = of[_units([w.encode() for w in batch.column(0).to_pylist()], number)]
-            kinds += np.bincount(cls, minlength=ALL)
-            total += np.bincount(cls, batch.column(1).to_numpy(), minlength=ALL).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ALL)), pa.array(kinds), pa.array(total)], ["class", "words", "tokens"])
-
-    return scan
+    def classes(self, at: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        """Classes of words from their places among the held ones and their endings."""
+        own = (at >= 0) & (at < self.clustered)
+        return np.where(own, self.of[np.where(own, unit_of(at), 0)], self.of[endings])
 
 
 def cluster(sequences: DataFrame, found: DataFrame | None, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,56 +341,53 @@ def cluster(sequences: DataFrame, found: DataFrame | None, of: np.ndarray) -> tu
 
 
 def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """``docs`` (text without nulls) -> the model, and the table of all words' counts (word hash, n)."""
+    """``docs`` (text without nulls) -> the model, and the table of all words' counts (hash, n)."""
     spark = docs.sparkSession
     counts = cut_lineage(word_counts(docs))
     texts = docs.count()
-    words, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequent = frequent_words(counts)
-    number = {w: i for i, (w, _) in enumerate(frequent)}
-    rest = [w for w, n in frequent[CLUSTERED:] if n >= LEAST]
-    clustered = dict(list(number.items())[: CLUSTERED + len(rest)])
-    held = spark.sparkContext.broadcast(clustered)
+    kinds_all, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    keys, count, endings = frequent_words(counts)
+    clustered = max(min(CLUSTERED, len(keys)), int((count >= LEAST).sum()))
+    rest = max(0, clustered - CLUSTERED)
+    held = spark.sparkContext.broadcast(Places(keys[:clustered]))
     sequences = cut_lineage(docs.select("text").mapInArrow(_sequences(held), "units binary"))
-    found = contexts(sequences, len(rest), sum(n for _, n in frequent[CLUSTERED : CLUSTERED + len(rest)])) if rest else None
-    of = np.concatenate([np.arange(END) % CLASSES, [CLASSES], np.array([ending(w) % CLASSES for w in rest], np.int64)])
+    found = contexts(sequences, rest, int(count[CLUSTERED:clustered].sum())) if rest else None
+    of = np.concatenate([np.arange(END) % CLASSES, [CLASSES], np.arange(rest) % CLASSES])
     of, pairs = cluster(sequences, found, of)
     own = pairs.sum(0) + 0.5
     step = np.log10((pairs + PRIOR * own / own.sum()) / (pairs.sum(1, keepdims=True) + PRIOR))
-    sizes = counts.mapInArrow(_class_sizes(held, of), "class long, words long, tokens long").groupBy("class").agg(F.sum("words"), F.sum("tokens")).collect()
-    kinds, size = np.zeros(ALL), np.zeros(ALL)
-    for c, k, n in sizes:
-        kinds[c], size[c] = k, n
-    kinds[CLASSES], size[CLASSES] = (1, texts) if texts else (0, 0)
-    count = np.array([n for _, n in frequent], np.int64)
-    model = Model(number, len(clustered), count, of, step, np.log10(size + ADD * (kinds + 1)), int(total + texts), int(words + (texts > 0)))
-    return model, counts.select(F.xxhash64("word").alias("hash"), "n", "word")
+    size = pairs.sum(0)
+    kinds = np.bincount(of[unit_of(np.arange(clustered))], minlength=ALL).astype(float)
+    by_ending = np.zeros(END, np.int64)  # of the words without a choice of their own
+    for e, k in counts.groupBy("ending").agg(F.count("*")).collect():
+        by_ending[e] = k
+    by_ending -= np.bincount(endings[:clustered], minlength=END)
+    kinds += np.bincount(of[:END], by_ending, ALL)
+    kinds[CLASSES] = texts > 0
+    model = Model(Places(keys), clustered, count, of, step, np.log10(size + ADD * (kinds + 1)), int(total + texts), int(kinds_all + (texts > 0)))
+    return model, counts.select("hash", "n")
 
 
-_LOCAL = "key long, doc_id long, held_out boolean, n_tokens long, known long, steps double, shares double, logs double, rare array<string>, times array<long>"
+_LOCAL = "key long, doc_id long, held_out boolean, n_tokens long, known long, steps double, shares double, logs double, rare array<long>, times array<long>"
 
 
 def _scoring(held, ends: int) -> object:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        class_of_held = np.append(m.of[unit_of(np.arange(m.clustered))], [m.of[ending(w)] for w in list(m.number)[m.clustered :]]).astype(np.int64)
-        logs = np.log10(m.count + ADD)
+        logs = np.append(np.log10(m.count + ADD), 0.0)
         end = float(np.log10(ends + ADD))
         for batch in batches:
             out = []
-            for text in batch.column(3):
-                words = tokens(text.as_py())
-                at = np.array([m.number.get(w, -1) for w in words], np.int64)
-                cls = np.full(len(words) + 1, CLASSES)
-                rare: Counter = Counter()
-                if len(words):
-                    cls[:-1] = class_of_held[at] if len(class_of_held) else 0
-                    for i in np.flatnonzero(at < 0).tolist():
-                        rare[words[i]] += 1
-                        cls[i] = m.of[ending(words[i])]
-                known = at[at >= 0]
-                out.append((len(cls), len(known) + (ends > 0), m.step[np.append(CLASSES, cls[:-1]), cls].sum(), m.share[cls].sum(), logs[known].sum() + end, [w.decode() for w in rare], list(rare.values())))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            for hashes, endings, offsets in tokens(batch.column(3)):
+                at = m.place(hashes)
+                classes = np.insert(m.classes(at, endings), offsets[1:], CLASSES)
+                before = np.append(CLASSES, classes[:-1])
+                first = offsets + np.arange(len(offsets))  # of each text among the tokens, ends included
+                sums = [np.add.reduceat(x, first[:-1]) for x in (m.step[before, classes], m.share[classes], np.insert(logs[at], offsets[1:], end), np.insert(at >= 0, offsets[1:], ends > 0).astype(np.int64))]
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    rare, times = np.unique(hashes[a:b][at[a:b] < 0], return_counts=True)
+                    out.append((b - a + 1, sums[3][i], sums[0][i], sums[1][i], sums[2][i], rare.view(np.int64), times))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             names = ["key", "doc_id", "held_out", "n_tokens", "known", "steps", "shares", "logs", "rare", "times"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]], names)
 
@@ -368,9 +399,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, ends: int) -> DataFr
     spark = docs.sparkSession
     keyed = docs.select(base.row_key().alias("key"), "doc_id", "held_out", "text")
     local = keyed.mapInArrow(_scoring(spark.sparkContext.broadcast(model), ends), _LOCAL)
-    rare = local.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.xxhash64("x.rare").alias("hash"), F.col("x.times").alias("times"))
+    rare = local.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
     log = F.log10(F.coalesce("n", F.lit(0)) + ADD)
-    joined = rare.join(counts.select("hash", "n"), "hash", "left").groupBy("key").agg(
+    joined = rare.join(counts, "hash", "left").groupBy("key").agg(
         F.sum(F.col("times") * log).alias("rare_logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known")
     )
     rows = local.drop("rare", "times")

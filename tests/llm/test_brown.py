@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from cases import empty, frame, hard_rows
 
 from pressloom.llm import base, brown
@@ -33,17 +34,45 @@ def test_base_score_and_counts(spark, monkeypatch):
     assert sorted(((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=str) == expected
 
 
-def test_probabilities_sum_to_one(spark):
-    short = [r for r in hard_rows() if r[0] != 12]  # no word over LONGEST bytes, so all are held
-    model, _ = _score(spark, frame(spark, short))
+def _words(rows):
+    return sorted({w for r in rows for w in (r[1] or "").encode().lower().split()})
+
+
+def _classes(model, words):
+    """Classes of words, one at a time."""
+    out = []
+    for w in words:
+        ((hashes, endings, _),) = brown.tokens(pa.array([w.decode("utf-8", "surrogateescape")]))
+        at = int(model.place(hashes)[0])
+        out.append(int(model.of[at + (brown.ENDINGS + 1 if at >= brown.CLUSTERED else 0)] if 0 <= at < model.clustered else model.of[endings[0]]))
+    return out
+
+
+def test_probabilities_sum_to_one_and_scores_follow_from_them(spark):
+    rows = hard_rows()
+    model, got = _score(spark, frame(spark, rows))
     assert np.allclose((10.0 ** model.step).sum(1), 1)
-    words = list(model.number)
-    of = [model.of[i] if i < brown.CLUSTERED else model.of[brown.ending(w)] for i, w in enumerate(words)]
+    rest = lambda i: zlib.crc32(b"null" if i is None else str(i).encode()) % 10
+    train = [r for r in rows if rest(r[0])]
+    count = Counter(w for r in train for w in (r[1] or "").encode().lower().split())
+    of = dict(zip(_words(rows), _classes(model, _words(rows))))
+    assert not set(of.values()) & {brown.CLASSES}
     share = np.zeros(brown.ALL)
-    for c, n in zip(of, model.count):
-        share[c] += (n + brown.ADD) / 10 ** model.share[c]
+    for w, n in count.items():
+        share[of[w]] += (n + brown.ADD) / 10 ** model.share[of[w]]
+    share[brown.CLASSES] = (len(train) + brown.ADD) / 10 ** model.share[brown.CLASSES]
     used = share > 0
     assert np.allclose(share[used] + brown.ADD / 10 ** model.share[used], 1)
+    expected = []
+    for r in rows:
+        score, before = 0.0, brown.CLASSES
+        for w in [*(r[1] or "").encode().lower().split(), None]:
+            cls, n = (of[w], count[w]) if w else (brown.CLASSES, len(train))
+            score += model.step[before, cls] + math.log10(n + brown.ADD) - model.share[cls]
+            before = cls
+        expected.append((str(r[0]), score))
+    for (a, x), (b, y) in zip(sorted(expected), sorted((str(r["doc_id"]), r["score"]) for r in got)):
+        assert a == b and abs(x - y) < 1e-6
 
 
 def test_better_than_base_on_held_out(spark):
@@ -96,9 +125,9 @@ def test_words_past_the_most_frequent_get_their_own_class(spark):
     common = [f"c{i}" for i in range(brown.CLUSTERED)]
     lines = [" ".join(rng.permutation(common)) for _ in range(12)]
     kinds = [[f"{k}{i}xyz" for i in range(40)] for k in "pq"]  # one ending for all, so one class for all by their ending
-    for _ in range(brown.LEAST + 5):
+    for _ in range(25):
         lines += [f"pre {w} mid" for w in kinds[0]] + [f"mid {w} pre" for w in kinds[1]]
     docs = spark.createDataFrame([(line,) for line in lines], "text string")
     model, _ = brown.learn(docs)
-    of = [Counter(model.of[brown.unit_of(np.array([model.number[w.encode()] for w in ws]))].tolist()) for ws in kinds]
-    assert not of[0].keys() & of[1].keys()
+    of = [set(_classes(model, [w.encode() for w in ws])) for ws in kinds]
+    assert not of[0] & of[1]
