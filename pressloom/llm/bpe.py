@@ -17,6 +17,7 @@ import json
 from collections.abc import Iterator
 from itertools import accumulate, islice
 from operator import getitem
+from struct import pack, unpack
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from pressloom.llm import base
+from pressloom.llm.hashing import buffer, chunks
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct words (and those of one batch), states, and pairs of tokens that a worker keeps at most.
@@ -47,7 +49,7 @@ def _byte_of_character() -> dict[str, int]:
 class State(dict):
     """What a prefix leaves to the next byte: next state by byte, and the last token of the prefix with its length in bytes."""
 
-    __slots__ = ("open", "token", "size", "encoder")
+    __slots__ = ("key", "token", "size", "encoder")
 
     def __missing__(self, byte: int) -> State:
         found = self[byte] = self.encoder.step(self, byte)
@@ -113,28 +115,29 @@ class Encoder:
             self.may_follow[key] = known
         return known
 
-    def state(self, open_: tuple, token: int, size: int) -> State:
-        key = open_, token, size
+    def state(self, open_: list[int], token: int, size: int) -> State:
+        key = pack(f"{len(open_) + 1}q", token << 8 | size, *open_)
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = State()
-            found.open, found.token, found.size, found.encoder = open_, token, size, self
+            found.key, found.token, found.size, found.encoder = key, token, size, self
         return found
 
     def step(self, before: State, byte: int) -> State:
         """The next state of a prefix. Its open places, the longest stretch first, are those from which a token may still reach further:
-        (token before the place, node of the vocabulary's trie for what was read since, bytes since)."""
+        the token before the place, the node of the vocabulary's trie for what was read since, and the bytes since, in one number."""
         out, last = [], None
-        for left, node, n in (*before.open, (before.token, 0, 0)):
+        for place in (*unpack(f"{len(before.key) // 8}q", before.key)[1:], before.token + 1 << 32):
+            left, node, n = (place >> 32) - 1, place >> 8 & 0xFFFFFF, (place & 0xFF) + 1
             node = self.below.get(node << 8 | byte)
             if node is None:
                 continue
             token = self.token_of.get(node)
             if last is None and token is not None and (left < 0 or self.follows(left, token)):
-                last = token, n + 1
+                last = token, n
             if node in self.inner:
-                out.append((left, node, n + 1))
-        return self.state(tuple(out), *last)
+                out.append(left + 1 << 32 | node << 8 | n)
+        return self.state(out, *last)
 
     def learn(self, words: list[str]) -> None:
         """Encodes the distinct words by one walk over their trie: the stack holds the states of the current path, and the next word goes
@@ -143,7 +146,7 @@ class Encoder:
             for state in self.states.values():
                 state.clear()
             self.states.clear()
-        path, stack = b"", [self.state((), -1, 0)]
+        path, stack = b"", [self.state([], -1, 0)]
         for raw, word in sorted((w.encode(), w) for w in words):
             shared = 0
             for a, b in zip(path, raw):
@@ -176,7 +179,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
         """For each text, its words' (number of tokens, ids, decoded bytes)."""
-        if len(self.words) > KEPT // 2:  # words of the last two generations are kept, so frequent ones stay
+        if len(self.words) > KEPT // 3:  # words of the last two generations are kept, so frequent ones stay
             self.earlier, self.words = self.words, {}
         cut = [self.pieces(t) for t in texts]
         known, earlier, new = self.words, self.earlier, []
@@ -208,16 +211,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _groups(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
-    group, n = [], 0
-    for t in texts:
-        group.append(t)
-        n += len(t)
-        if n >= size:
-            yield group
-            group, n = [], 0
-    if group:
-        yield group
+def _parts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of about a million bytes of text, and their texts; only these become Python strings at a time."""
+    _, offsets = buffer(batch.column(at))
+    for first, last in chunks(offsets):
+        part = batch.slice(first, last - first)
+        yield part, [t or "" for t in part.column(at).to_pylist()]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, with_decoded: bool = False) -> DataFrame:
@@ -228,16 +227,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_decoded: boo
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            first = 0
-            for group in _groups([t or "" for t in batch.column(at).to_pylist()]):
-                coded = own.encode_all(group)
+            for part, texts in _parts(batch, at):
+                coded = own.encode_all(texts)
                 joined = [",".join([w[1] for w in words]) for words in coded]
                 flat = np.array(",".join(filter(None, joined)).split(","), np.int32) if any(joined) else np.zeros(0, np.int32)
                 counts = [sum([w[0] for w in words]) for words in coded]
                 tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(flat))
                 more = [pa.array([own.decode(flat[e - n : e].tolist()) for n, e in zip(counts, np.cumsum(counts))], pa.string())] if with_decoded else []
-                part = batch.slice(first, len(group))
-                first += len(group)
                 yield pa.RecordBatch.from_arrays([*part.columns, tokens, *more], [*batch.schema.names, "tokens", *["decoded"] * with_decoded])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -269,8 +265,8 @@ def encoding_report(docs: DataFrame, path: str | None = None) -> DataFrame:
         own = encoder(path)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for group in _groups(batch.column(1).to_pylist()):
-                for words in own.encode_all(group):
+            for _, texts in _parts(batch, 1):
+                for words in own.encode_all(texts):
                     n.append(sum([w[0] for w in words]))
                     ids.append(hashlib.sha256(",".join([w[1] for w in words]).encode()).hexdigest())
                     decoded.append(hashlib.sha256(b"".join([w[2] for w in words]).decode("utf-8", "replace").encode()).hexdigest())
