@@ -6,18 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions import dates, urls
+from pressloom.operators import growing
 from pressloom.operators.leaders import LOOSE, STRICT, similar_leaders
 from pressloom.operators.ranking import top_per_group
 
-def group_stories(items: DataFrame, tokens: Column, **options) -> DataFrame:
-    """``items`` with ``story`` (id of its newest headline); headlines with too few words are left out."""
-    links = similar_leaders(items.select("id", F.col("published").alias("ts"), tokens.alias("tokens")), LOOSE, **options)
+
+def group_stories(items: DataFrame, tokens: Column, grow: bool = False, **options) -> DataFrame:
+    """``items`` with ``story`` (id of its newest headline); headlines with too few words are left out.
+
+    ``grow``: a story is compared by the words of all its headlines so far, otherwise by those of its newest alone.
+    """
+    told = items.select("id", F.col("published").alias("ts"), tokens.alias("tokens"))
+    links = growing.growing_groups(told, growing.LOOSE) if grow else similar_leaders(told, LOOSE, **options)
     return items.join(links.select("id", F.col("leader").alias("story")), "id")
 
 
-def number_stories(items: DataFrame, tokens: Column, **options) -> DataFrame:
-    """``items`` with ``gid``, the strict story used to hide repeats; headlines with too few words stay alone."""
-    links = similar_leaders(items.select("id", F.col("published").alias("ts"), tokens.alias("tokens")), STRICT, **options)
+def number_stories(items: DataFrame, tokens: Column, grow: bool = False, **options) -> DataFrame:
+    """``items`` with ``gid``, the strict story used to hide repeats; headlines with too few words stay alone.
+
+    ``grow``: as in ``group_stories``; then a headline also joins only one of the stories opened last.
+    """
+    told = items.select("id", F.col("published").alias("ts"), tokens.alias("tokens"))
+    links = growing.growing_groups(told, growing.STRICT) if grow else similar_leaders(told, STRICT, **options)
     joined = items.join(links.select("id", F.col("leader").alias("gid")), "id", "left")
     return joined.withColumn("gid", F.coalesce("gid", "id"))
 

@@ -267,6 +267,43 @@ def g2(spark, sf):
     return coverage.number_stories(views.headlines(spark, sf), text.grouping_tokens(F.col("title"))).select("id", "gid")
 
 
+# the plain loops, one item a step: the groups so far are a list that the step before hands on
+GROWN_LOOSE_SQL = f"""{TOKS}, seq AS (SELECT row_number() OVER (ORDER BY o) AS i, o, id, t FROM toks),
+run AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS g, CAST([] AS STRUCT(g BIGINT, w VARCHAR[])[]) AS groups UNION ALL
+  SELECT i, g, CASE WHEN g = i THEN list_append(groups, {{'g': i, 'w': t}}) ELSE list_transform(groups, lambda x: CASE WHEN x.g = g THEN {{'g': x.g, 'w': list_distinct(list_concat(x.w, t))}} ELSE x END) END
+  FROM (SELECT s.i, s.t, r.groups, coalesce(list_min(list_transform(list_filter(r.groups, lambda x: len(list_intersect(x.w, s.t)) >= 3
+    AND len(list_intersect(x.w, s.t)) / len(list_distinct(list_concat(x.w, s.t))) >= 0.34), lambda x: x.g)), s.i) AS g FROM run r JOIN seq s ON s.i = r.i + 1)),
+members AS (SELECT toks.*, l.id AS story FROM run JOIN seq USING (i) JOIN toks ON toks.o = seq.o JOIN seq l ON l.i = run.g)"""
+GROWN_STRICT_SQL = f"""{TOKS}, df AS (SELECT w, count(*) AS c FROM (SELECT unnest(t) AS w FROM alltoks) GROUP BY w), total AS (SELECT greatest(count(*), 2) AS n FROM alltoks),
+wt AS (SELECT o, list({{'w': w, 'v': ln(n / c)}} ORDER BY c, w) AS wl, sum(ln(n / c)) AS ws FROM (SELECT o, unnest(t) AS w FROM alltoks) JOIN df USING (w), total GROUP BY o),
+seq AS (SELECT a.o AS i, a.id, a.published AS opened, coalesce(wl, CAST([] AS STRUCT(w VARCHAR, v DOUBLE)[])) AS wl, coalesce(ws, 0) AS ws FROM alltoks a LEFT JOIN wt USING (o)),
+run AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS g, CAST([] AS STRUCT(g BIGINT, opened TIMESTAMP, w STRUCT(w VARCHAR, v DOUBLE)[])[]) AS groups UNION ALL
+  SELECT i, g, CASE WHEN g = i THEN list_append(groups, {{'g': i, 'opened': opened, 'w': wl}}) ELSE list_transform(groups, lambda x: CASE WHEN x.g = g THEN {{'g': x.g, 'opened': x.opened, 'w': list_distinct(list_concat(x.w, wl))}} ELSE x END) END
+  FROM (SELECT s.i, s.opened, s.wl, r.groups, coalesce(list_max(list_transform(list_filter(r.groups[-700:], lambda x: len(s.wl) >= 3 AND epoch(x.opened) - epoch(s.opened) <= 36 * 3600 AND len(list_intersect(x.w, s.wl)) >= 3
+    AND list_sum(list_transform(list_intersect(x.w, s.wl), lambda z: z.v)) >= 0.5 * least(s.ws, list_sum(list_transform(x.w, lambda z: z.v))) - 1e-9), lambda x: x.g)), s.i) AS g
+    FROM run r JOIN seq s ON s.i = r.i + 1)),
+gids AS (SELECT seq.id, l.id AS gid FROM run JOIN seq USING (i) JOIN seq l ON l.i = run.g)"""
+
+
+@query(
+    "g1_growing_stories",
+    f"""WITH RECURSIVE {HEADLINES}, {GROWN_LOOSE_SQL} SELECT story, count(DISTINCT source) AS outlets, count(*) AS size FROM members GROUP BY story HAVING count(DISTINCT source) >= 2""",
+)
+def g1_growing(spark, sf):
+    members = coverage.group_stories(views.headlines(spark, sf), text.grouping_tokens(F.col("title")), grow=True)
+    return coverage.story_coverage(members, views.sources(spark, sf)).select("story", "outlets", "size")
+
+
+@query("g1_growing_members", f"WITH RECURSIVE {HEADLINES}, {GROWN_LOOSE_SQL} SELECT id, story FROM members")
+def g1_members(spark, sf):
+    return coverage.group_stories(views.headlines(spark, sf), text.grouping_tokens(F.col("title")), grow=True).select("id", "story")
+
+
+@query("g2_growing_numbers", f"WITH RECURSIVE {HEADLINES}, {GROWN_STRICT_SQL} SELECT id, gid FROM gids")
+def g2_growing(spark, sf):
+    return coverage.number_stories(views.headlines(spark, sf), text.grouping_tokens(F.col("title")), grow=True).select("id", "gid")
+
+
 @query(
     "a7_term_weights",
     f"""WITH t AS (SELECT unnest({base.tokens1('text')}) AS term FROM documents), n AS (SELECT greatest(count(*), 2) AS n FROM documents)

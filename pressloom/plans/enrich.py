@@ -20,10 +20,10 @@ def tag(articles: DataFrame, value: Column, title: Column, default_state: Column
     return tagging.with_states(tagged, value, default_state, c.get("states"))
 
 
-def enrich(articles: DataFrame, sources: DataFrame, now: Column, blocked: DataFrame | None = None, config: dict | None = None) -> DataFrame:
-    """Store rows to publishable rows. Shuffles only for the story number."""
+def enrich(articles: DataFrame, sources: DataFrame, now: Column, blocked: DataFrame | None = None, config: dict | None = None, grow: bool = False) -> DataFrame:
+    """Store rows to publishable rows. Shuffles only for the story number. ``grow``: see ``coverage.number_stories``."""
     served = listings.serve(articles, sources, now, blocked)
     tagged = tag(served, F.concat_ws(" ", "title", "desc"), F.col("title"), F.when(F.col("grupo") == "regional", F.col("uf")), config)
-    news = coverage.number_stories(tagged.where(F.col("kind") == "noticia"), text.grouping_tokens(F.col("title")))
+    news = coverage.number_stories(tagged.where(F.col("kind") == "noticia"), text.grouping_tokens(F.col("title")), grow)
     checks = tagged.where(F.col("kind") != "noticia").withColumn("gid", F.lit(None).cast("string"))
     return news.unionByName(checks)
