@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressloom.functions import text
-from pressloom.operators import coverage, listings, tagging
+from pressloom.operators import coverage, dictionary, listings, tagging
 from pressloom.operators.leaders import LOOSE, STRICT, similar_leaders
 from pressloom.plans import digests, enrich, publish, views
 from pressloom.plans.catalog import base
@@ -127,6 +127,54 @@ def f18(spark, sf):
     return tagging.framing_counts(h, F.concat_ws(" ", "title", "body"), FRAMING)
 
 
+# --- dictionaries as tables ---------------------------------------------------------------------------------------------
+
+
+def dictionaries(spark):
+    """Common dictionaries, and those of the channel the queries run for; another channel's rows must not be used."""
+    people = {"ana": ["that"], "bo": ["leau"], "cy": ["rewh", "orre"], "di": ["nicht"]}
+    rows = [(None, "framing", None, "unused", None, 0), ("other", "topic", "alpha", "the", None, 0), (None, "topic", "old", "the", None, 0)]
+    rows += [("checked", "topic", key, term, None, i) for i, (key, terms) in enumerate(TOPICS.items()) for term in terms]
+    rows += [("checked", "framing", None, term, None, 0) for term in FRAMING]
+    rows += [(None, "people", key, term, PEOPLE[key], i) for i, (key, terms) in enumerate(people.items()) for term in terms]
+    dims = spark.createDataFrame(rows, "channel string, kind string, key string, term string, pattern string, ord int")
+    return dictionary.of_channel(dims, "checked")
+
+
+@query("j7_topics_by_table", f"WITH {TAGGED} SELECT doc_id, array_to_string(topics, ',') AS topics FROM tagged")
+def j7_by_table(spark, sf):
+    h = views.headlines(spark, sf, body=True)
+    listed = dictionaries(spark).where("kind = 'topic'").select("key", "term", "ord")
+    return dictionary.keys_named(h, "doc_id", F.concat_ws(" ", "title", "body"), listed, "topics").select("doc_id", joined("topics").alias("topics"))
+
+
+@query("j8_people_by_table", f"WITH {TAGGED} SELECT doc_id, array_to_string(pessoas, ',') AS pessoas FROM tagged")
+def j8_by_table(spark, sf):
+    h = views.headlines(spark, sf, body=True)
+    listed = dictionaries(spark).where("kind = 'people'").select("key", "term", "pattern", "ord")
+    return dictionary.patterns_named(h, "doc_id", F.concat_ws(" ", "title", "body"), listed, "pessoas").select("doc_id", joined("pessoas").alias("pessoas"))
+
+
+@query("f18_framing_by_table", base.ORACLES["f18_framing_words"])
+def f18_by_table(spark, sf):
+    h = views.headlines(spark, sf, body=True)
+    used = dictionary.words_used(h, "doc_id", F.concat_ws(" ", "title", "body"), dictionaries(spark).where("kind = 'framing'").select("term"))
+    return used.join(h.select(F.col("doc_id").alias("id"), "source"), "id").groupBy("source", F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "j7_terms_of_turns",
+    f"""WITH terms AS (SELECT DISTINCT regexp_extract(trim(regexp_replace({base.fold1('text')}, '\s+', ' ', 'g')), '^[a-z0-9]+ [a-z0-9]+') AS term FROM conversations),
+    d AS (SELECT doc_id, trim(regexp_replace({base.fold1('text')}, '\s+', ' ', 'g')) AS t FROM documents)
+    SELECT term, count(*) AS n_docs FROM d JOIN terms ON term <> '' AND contains(t, term) AND regexp_matches(t, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY term""",
+)
+def terms_of_turns(spark, sf):
+    """Which documents hold the first two words of any turn; the dictionary grows with the conversations."""
+    said = table(spark, sf, "conversations").select(F.regexp_extract(dictionary.plain(F.col("text")), "^[a-z0-9]+ [a-z0-9]+", 0).alias("term")).distinct()
+    found = dictionary.hits(table(spark, sf, "documents"), "doc_id", dictionary.plain(F.col("text")), said, dictionary.ASCII_WORD, whole=True)
+    return found.select("id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 def checks(spark, sf):
     """Fact checks whose titles carry a verdict taken from the labels."""
     labels = table(spark, sf, "labels")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import dates, text, urls
 from pressloom.functions import fixed_values as fv
-from pressloom.operators import ingest, listings
+from pressloom.operators import dictionary, ingest, listings
 from pressloom.plans import views
 from pressloom.plans.catalog import base
 from pressloom.plans.catalog.base import HEADLINES, RAW, SOURCES, query
@@ -272,6 +272,14 @@ def f10(spark, sf):
     return d.select("doc_id", text.is_relevant(F.col("text"), TEST_PREFIXES, TEST_ACRONYMS).alias("relevant"))
 
 
+@query("f10_relevance_by_table", f"SELECT doc_id, {_RELEVANT('text')} AS relevant FROM documents")
+def f10_by_table(spark, sf):
+    d = table(spark, sf, "documents")
+    starts, names = (spark.createDataFrame([(w,) for w in words], "term string") for words in (TEST_PREFIXES, TEST_ACRONYMS))
+    found = dictionary.relevant_rows(d, "doc_id", F.col("text"), starts, names).select(F.col("id").alias("doc_id"), F.lit(True).alias("found"))
+    return d.join(found, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("relevant"))
+
+
 @query(
     "f11_bad_titles",
     rf"""WITH {RAW}, t AS (SELECT doc_id, trim(CASE doc_id % 6 WHEN 0 THEN split_part(raw_title, ' ', 1) WHEN 1 THEN 'https://x.example.org/' || doc_id
