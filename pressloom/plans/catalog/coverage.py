@@ -702,14 +702,11 @@ def s10(spark, sf):
 
 @query(
     "j23_new_since_snapshot",
-    f"""WITH {HEADLINES}, now20 AS (SELECT url FROM h ORDER BY published DESC, id LIMIT 400), before AS (SELECT url FROM h WHERE published < {NOW} - INTERVAL 1 HOUR ORDER BY published DESC, id LIMIT 400)
-    SELECT url FROM now20 WHERE url NOT IN (SELECT url FROM before)""",
+    f"""WITH {HEADLINES}, before AS (SELECT url FROM h WHERE published < {NOW} - INTERVAL 1 HOUR) SELECT url FROM h WHERE url NOT IN (SELECT url FROM before)""",
 )
 def j23(spark, sf):
     h = views.headlines(spark, sf)
-    order = coverage.newest_first()
-    before = h.where(F.col("published") < views.now() - F.expr("INTERVAL 1 HOUR")).orderBy(*order).limit(400)
-    return listings.new_since(h.orderBy(*order).limit(400), before).select("url")
+    return listings.new_since(h, h.where(F.col("published") < views.now() - F.expr("INTERVAL 1 HOUR"))).select("url")
 
 
 # --- the publish run --------------------------------------------------------------------------------------------------------

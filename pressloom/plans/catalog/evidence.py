@@ -125,8 +125,9 @@ def k4(spark, sf):
 def two_lists(spark, sf):
     """Local and external candidates for each claim: headlines by conversation number, some links in both lists."""
     h = spread_outlets(views.headlines(spark, sf)).select("doc_id", "id", "url", F.concat("source", F.lit(".org")).alias("outlet"))
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    both = e.join(h, h.doc_id == F.floor(e.event_id / 2)).select(F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("qid"), F.col("event_id").alias("pos"), "url", "outlet", "event_type")
+    n = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf, "events").crossJoin(F.broadcast(n)).select("event_id", "user_id", "event_type", (F.col("event_id") % F.col("n")).alias("doc_id"))  # one row
+    both = e.join(h, "doc_id").select(F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("qid"), F.col("event_id").alias("pos"), "url", "outlet", "event_type")
     local = both.where(F.col("event_type").isin("click", "view"))
     external = both.where(~F.col("event_type").isin("click", "view")).withColumn("url", F.concat("url", F.lit("/")))
     return local.drop("event_type"), external.drop("event_type")
@@ -134,7 +135,7 @@ def two_lists(spark, sf):
 
 @query(
     "w6_merge_candidates",
-    f"""WITH {HEADLINES}, e AS (SELECT 'q' || user_id AS qid, event_id AS pos, 'https://' || source || '.org/' || id AS link, source || '.org' AS outlet, CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 END AS part FROM events JOIN h ON doc_id = event_id // 2),
+    f"""WITH {HEADLINES}, e AS (SELECT 'q' || user_id AS qid, event_id AS pos, 'https://' || source || '.org/' || id AS link, source || '.org' AS outlet, CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 END AS part FROM events JOIN h ON doc_id = event_id % (SELECT count(*) FROM documents)),
     u AS (SELECT *, row_number() OVER (PARTITION BY qid, link ORDER BY part, pos) AS r FROM e), o AS (SELECT *, row_number() OVER (PARTITION BY qid, outlet ORDER BY part, pos) AS ro FROM u WHERE r = 1),
     p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY part, pos) AS place FROM o WHERE ro <= 2) SELECT qid, link, outlet, place FROM p WHERE place <= 8""",
 )

@@ -321,14 +321,14 @@ def place_list(spark, sf):
 _PLACES = rf"""bw AS (SELECT item_id, regexp_extract_all({base.fold2('text')}, '[a-z]{{6,}}') AS w FROM benchmark),
     pl AS MATERIALIZED (SELECT DISTINCT nome FROM (SELECT unnest(w) AS nome FROM bw UNION ALL SELECT w[1] || ' ' || w[2] FROM bw WHERE len(w) > 1)),
     ask AS MATERIALIZED (SELECT DISTINCT CASE WHEN x % 4 = 0 THEN w || '/SP' WHEN x % 4 = 1 THEN substr(w, 1, 2) || substr(w, 4) WHEN x % 4 = 2 THEN substr(w, 2, 1) || substr(w, 1, 1) || substr(w, 3) ELSE w END AS name FROM
-      (SELECT conv_id + turn AS x, unnest(regexp_extract_all({base.fold2('text')}, '[a-z]{{7,}}')) AS w FROM conversations WHERE role = 'user')),
+      (SELECT conv_id + turn AS x, unnest(regexp_extract_all({base.fold2('text')}, '[a-z]{{7,}}')) AS w FROM conversations)),
     keyed AS MATERIALIZED (SELECT name, regexp_replace(name, '/SP$', '') AS k FROM ask)"""
 _CHECKED = f"""{_PLACES}, nearest AS (SELECT k, min((damerau_levenshtein(k, nome), nome)) AS b FROM (SELECT DISTINCT k FROM keyed) q JOIN pl ON abs(length(k) - length(nome)) <= 2 AND damerau_levenshtein(k, nome) <= CASE WHEN length(replace(k, ' ', '')) >= 12 THEN 2 ELSE 1 END GROUP BY k),
     begins AS (SELECT k, min(nome) AS b FROM (SELECT DISTINCT k FROM keyed) q JOIN pl ON starts_with(nome, k || ' ') GROUP BY k)"""
 
 
 def asked_places(spark, sf):
-    c = table(spark, sf, "conversations").where(F.col("role") == "user")
+    c = table(spark, sf, "conversations")
     w = c.select((F.col("conv_id") + F.col("turn")).alias("x"), F.explode(F.regexp_extract_all(text.fold_retrieval(F.col("text")), F.lit("[a-z]{7,}"), F.lit(0))).alias("w"))
     x, word = F.col("x") % 4, F.col("w")
     name = (
@@ -361,12 +361,12 @@ def j18(spark, sf):
 
 @query(
     "x6_place_names",
-    rf"""SELECT doc_id, trim(regexp_replace({base.fold2('t')}, '[^a-z0-9]+', ' ', 'g')) AS k FROM (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents)""",
+    rf"""SELECT doc_id, trim(regexp_replace({base.fold2('t')}, '[^a-z0-9]+', ' ', 'g')) AS k FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)""",
 )
 def x6(spark, sf):
     d = table(spark, sf, "documents")
     suffix = F.array(F.lit("/SP"), F.lit(" - RJ"), F.lit(" (mg)"), F.lit(""))[(F.col("doc_id") % 4).cast("int")]
-    return d.select("doc_id", places.place_key(F.concat(F.substring_index("text", "\n", 1), suffix)).alias("k"))
+    return d.select("doc_id", places.place_key(F.concat(F.translate("text", "\n", " "), suffix)).alias("k"))
 
 
 @query("x7_place_mentions", f"""WITH {CLAIMS}, t AS (SELECT qid, upper(substr(w, 1, 1)) || substr(w, 2) AS nm FROM (SELECT qid, regexp_extract({base.fold2('text')}, '[a-z]{{5,}}') AS w FROM clm)) SELECT qid, CASE WHEN nm = '' THEN '' ELSE nm || '|Porto ' || nm END AS names FROM t""")

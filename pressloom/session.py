@@ -25,16 +25,21 @@ def local_session(cpus: str = "8", app: str = "pressloom") -> SparkSession:
     )
 
 
+#: The folder of each local application whose session names none.
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only local mode may fall back to a temporary folder."""
+    """The cluster's ``spark.checkpoint.dir``; only local mode may fall back to a temporary folder, one for each application."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="pressloom-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="pressloom-shared-")
+    return _local_folders[application]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

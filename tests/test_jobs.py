@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pressloom.functions import chain, dates, places, text, urls, verdicts
 from pressloom.operators import alerts, evidence, ingest, operations, place_check, tagging
 from pressloom.operators.leaders import LOOSE, STRICT, first_wins, similar_leaders
+from pressloom.session import shared_folder
 from pressloom.sources import store as store_source
 from pressloom.streaming import jobs
 
@@ -225,3 +227,14 @@ def test_streams_of_several_batches_equal_their_batch_twins(spark, tmp_path):
     got = {(r["start"], r["topic"]): r["headlines"] for r in jobs.drain(windows, str(tmp_path / "windows"), "update", ["start", "topic"]).collect()}
     expected = Counter((ts.replace(minute=0), topic) for _, ts, _, topic in rows)
     assert got == dict(expected)
+
+
+def test_local_sessions_without_a_shared_folder_get_one_of_their_own():
+    def session(master, application, folder=None):
+        conf = SimpleNamespace(get=lambda key, default: folder or default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=application))
+
+    assert shared_folder(session("local[2]", "a", "/shared")) == "/shared"
+    assert shared_folder(session("local[2]", "a")) == shared_folder(session("local[2]", "a")) != shared_folder(session("local[2]", "b"))
+    with pytest.raises(RuntimeError):
+        shared_folder(session("spark://host:7077", "a"))
