@@ -90,8 +90,8 @@ WORDS = Unit("word", LENGTH, GRAM, many=2048)
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) -> key, text, starts, counts of the documents with windows that a document with a smaller id holds too."""
     held, spans = repeated_windows(docs, WORDS, F.coalesce("doc_id", F.lit(LAST)), repeats_by_blocks)
-    lists = spans.where("best < ord").groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
-    return held.join(lists.hint("shuffle_hash"), "key").select("key", "text", "starts", "counts")
+    lists = spans.where("best < ord").groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))  # equal rows bring equal spans
+    return held.join(lists.hint("shuffle_hash"), "key").select("key", "text", F.col("spans.start").alias("starts"), F.col("spans.n").alias("counts"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,7 @@ def kept_words(docs: DataFrame) -> DataFrame:
 def repeated_passage_report(docs: DataFrame) -> DataFrame:
     """Per document: words, words removed, SHA-256 of the kept words."""
     docs = base.texts(docs)
-    found = kept_words(docs).select("key", "n_removed", F.sha2("kept", 256).alias("cut_sha256")).distinct()
+    found = kept_words(docs).select("key", "n_removed", F.sha2("kept", 256).alias("cut_sha256"))
     plain = F.regexp_replace(F.regexp_replace("text", f"[{base.SPACE_CLASS}]+", " "), "^ | $", "")
     whole = docs.select(base.row_key().alias("key"), "doc_id", plain.alias("plain")).select(
         "key", "doc_id", F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),

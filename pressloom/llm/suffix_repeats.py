@@ -147,8 +147,8 @@ BYTES = Unit("byte", LENGTH, GRAM, many=4096)
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) -> key, text, starts, counts of the documents that hold repeated windows."""
     held, spans = repeated_windows(docs, BYTES, F.lit(0), repeats_by_suffix_array)
-    lists = spans.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
-    return held.join(lists.hint("shuffle_hash"), "key").select("key", "text", "starts", "counts")
+    lists = spans.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))  # equal rows bring equal spans
+    return held.join(lists.hint("shuffle_hash"), "key").select("key", "text", F.col("spans.start").alias("starts"), F.col("spans.n").alias("counts"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
 
     A character of several bytes goes only if all its bytes are repeated.
     """
-    cut = repeated_bytes(base.texts(docs)).mapInArrow(_cut_texts, "key long, cut string").dropDuplicates(["key"])
+    cut = repeated_bytes(base.texts(docs)).mapInArrow(_cut_texts, "key long, cut string")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
     marked = docs.select(key.alias("__key"), *[F.col(f"`{c}`") for c in docs.columns])
     joined = marked.join(cut.withColumnRenamed("key", "__key").withColumnRenamed("cut", "__cut"), "__key", "left")
@@ -193,7 +193,7 @@ def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
 def repeated_byte_report(docs: DataFrame) -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs, SHA-256 of what is left."""
     docs = base.texts(docs)
-    found = repeated_bytes(docs).mapInArrow(_digests, "key long, n_removed long, n_spans long, cut_sha256 string").distinct()
+    found = repeated_bytes(docs).mapInArrow(_digests, "key long, n_removed long, n_spans long, cut_sha256 string")
     whole = docs.select(base.row_key().alias("key"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     return whole.join(found, "key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),

@@ -171,7 +171,7 @@ def _single_windows(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def repeated_windows(docs: DataFrame, unit: Unit, order: F.Column, solver: Callable) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (doc_id, text without nulls) -> (the documents that may hold a repeated window: key, doc_id, text; their spans: key, start, n, best).
+    """``docs`` (doc_id, text without nulls) -> (the distinct documents that may hold a repeated window: key, doc_id, text; their spans: key, start, n, best).
 
     A span says that the n windows from unit ``start`` of the document on occur more than once; ``best`` is the least order value among the
     documents that hold them, itself included. ``solver(contents, least, weight, ord)`` gets distinct segments and returns
@@ -188,7 +188,7 @@ def repeated_windows(docs: DataFrame, unit: Unit, order: F.Column, solver: Calla
     place = shared.groupBy("least", "digest", "key").agg(F.min("start").alias("start"), F.min("n").alias("n"))
     wanted = chosen.join(place, ["least", "digest", "key"]).groupBy("key").agg(F.collect_list(F.struct("least", "digest", "weight", "ord", "many", "start", "n")).alias("wanted"))
 
-    held = cut_lineage(keyed.join(shared.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").select("key", "doc_id", "text"))
+    held = cut_lineage(keyed.join(shared.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").select("key", "doc_id", "text").dropDuplicates(["key"]))
     contents = cut_lineage(
         held.join(wanted.hint("shuffle_hash"), "key").select("text", "wanted")
         .mapInArrow(_contents_of(unit), "least long, digest long, weight long, ord long, many boolean, content binary")

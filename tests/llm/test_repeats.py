@@ -8,9 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from cases import empty, frame, hard_rows, passages, repeated_bytes
+from cases import empty, frame, hard_rows, passages, repeated_bytes, words
 
-from pressloom.llm import block_repeats, suffix_repeats
+from pressloom.llm import base, block_repeats, suffix_repeats
 from pressloom.llm.hashing import ranges
 
 
@@ -31,6 +31,20 @@ def test_bytes(spark, monkeypatch, many):
     assert Counter(map(tuple, got)) == Counter(repeated_bytes(rows))
 
 
+def test_equal_rows_are_folded(spark):
+    """Lists and rows that meet the texts do not grow with the number of equal rows."""
+    rng = random.Random(6)
+    text = " ".join(words(rng, 400))
+    sizes = []
+    for n in (100, 400):
+        docs = frame(spark, [(1, text, "en", "a", 1), *[(2, text, "en", "a", 1)] * n])
+        sizes.append([[(len(r["starts"]), len(r["counts"])) for r in found(base.texts(docs)).collect()] for found in (block_repeats.repeated_passages, suffix_repeats.repeated_bytes)])
+        rows = block_repeats.repeated_passage_report(docs).collect()
+        assert sorted((r["doc_id"], r["n_removed"]) for r in rows) == [(1, 0), *[(2, 400)] * n]
+        assert Counter(r["n_removed"] for r in suffix_repeats.repeated_byte_report(docs).collect()) == {len(text.encode()): n + 1}
+    assert sizes[0] == sizes[1] and len(sizes[0][0]) == 1 and len(sizes[0][1]) == 2
+
+
 def test_empty_tables(spark):
     assert block_repeats.repeated_passage_report(empty(spark)).count() == 0
     assert suffix_repeats.repeated_byte_report(empty(spark)).count() == 0
