@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import chain, places, text, urls, verdicts
 from pressloom.functions import fixed_values as fv
-from pressloom.operators import evidence, retrieval
+from pressloom.operators import evidence, retrieval, search
 from pressloom.plans import views
 from pressloom.plans.catalog import base
 from pressloom.plans.catalog.base import HEADLINES, NOW, SOURCES, query
 from pressloom.plans.catalog.coverage import CHECKS, TAGGED, checks, members, named_headlines, tagged, LOOSE_SQL
 from pressloom.plans.views import table
+from pressloom.session import cut_lineage
 
 _LEADS = [
     "URGENTE!!! Compartilhe antes que apaguem: ",
@@ -506,6 +507,63 @@ def k2(spark, sf):
     return _unioned([retrieval.type_ahead(index, q).select(F.lit(i).alias("qid"), "id") for i, q in enumerate(_SEARCHES)])
 
 
+_TYPED = f"""typed AS (SELECT conv_id * 1000 + turn AS qid, array_to_string(regexp_extract_all(text, '\\S+')[:3], ' ') AS q FROM conversations),
+    asked AS (SELECT DISTINCT qid, unnest(list_filter(string_split_regex({base.fold1('q')}, '\\s+'), lambda w: length(w) > 1)) AS term FROM typed)"""
+
+
+def typed_queries(spark, sf):
+    """The first three words of every conversation turn."""
+    c = table(spark, sf, "conversations")
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 3)
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.array_join(words, " ").alias("q"))
+
+
+@query(
+    "k1_search_by_table",
+    f"""WITH {HEADLINES}, {SOURCES}, {_TYPED}, ix AS MATERIALIZED (SELECT h.id, h.published, {base.fold1('title')} AS kt, {base.fold1("name || ' ' || body")} AS kr FROM h JOIN src ON src.id = h.source),
+    met AS (SELECT qid, id, published, count(*) AS n, sum(CASE WHEN contains(kt, term) THEN 2 ELSE 1 END) AS score FROM asked JOIN ix ON contains(kt, term) OR contains(kr, term) GROUP BY qid, id, published),
+    ranked AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, published DESC, id) AS place FROM met JOIN (SELECT qid, count(*) AS n FROM asked GROUP BY qid) USING (qid, n))
+    SELECT qid, id, CAST(score AS BIGINT) AS score, place FROM ranked WHERE place <= 30""",
+)
+def k1_by_table(spark, sf):
+    s = views.sources(spark, sf).select(F.col("id").alias("source"), F.col("name").alias("source_name"))
+    index = views.headlines(spark, sf, body=True).withColumn("desc", F.col("body")).join(s, "source").withColumn("pessoas", F.array().cast("array<string>"))
+    return search.keyword_search(index, typed_queries(spark, sf), limit=30).select("qid", "id", "score", F.col("place").cast("bigint").alias("place"))
+
+
+@query(
+    "k2_completion_table",
+    f"""WITH {HEADLINES}, {SOURCES}, {_TYPED}, ix AS MATERIALIZED (SELECT h.id, h.published, {base.fold1("title || ' ' || name")} AS k FROM h JOIN src ON src.id = h.source),
+    words AS (SELECT qid, q[:i] AS q, qid * 1000 + i AS tid FROM (SELECT qid, {base.fold1('q')} AS q FROM typed), LATERAL (SELECT unnest(range(1, length(q) + 1)) AS i)),
+    parts AS (SELECT DISTINCT tid, unnest(list_filter(string_split_regex(q, '\\s+'), lambda w: length(w) > 1)) AS term FROM words),
+    met AS (SELECT tid, id, published, count(*) AS n FROM parts JOIN ix ON contains(k, term) GROUP BY tid, id, published),
+    ranked AS (SELECT tid, id, row_number() OVER (PARTITION BY tid ORDER BY published DESC, id) AS place FROM met JOIN (SELECT tid, count(*) AS n FROM parts GROUP BY tid) USING (tid, n))
+    SELECT tid AS qid, id, place FROM ranked WHERE place <= 10""",
+)
+def k2_completion(spark, sf):
+    """Every prefix of what users type, against a table built of old rows and kept up with new ones."""
+    index = named_headlines(spark, sf).select("id", "title", "source_name", "published")
+    old = F.col("published") < views.now() - F.expr("INTERVAL 96 HOUR")
+    kept_up = cut_lineage(search.merged_completions(search.completions(index.where(old)), index.where(~old)))
+    whole = typed_queries(spark, sf).select("qid", text.fold_grouping(F.col("q")).alias("q"))
+    lengths = F.filter(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))), lambda n: n <= F.length("q"))
+    typed = whole.select("qid", "q", F.explode(lengths).alias("n")).select((F.col("qid") * 1000 + F.col("n")).alias("qid"), F.substring(F.col("q"), F.lit(1), F.col("n")).alias("q"))
+    return search.complete(typed, kept_up, index).select("qid", "id", F.col("place").cast("bigint").alias("place"))
+
+
+@query(
+    "k3_story_search",
+    f"""WITH {HEADLINES}, {SOURCES}, {LOOSE_SQL}, {_TYPED}, st AS MATERIALIZED (SELECT m.story, {base.fold1("string_agg(m.title || ' ' || d.desc, ' ') || ' ' || string_agg(DISTINCT src.name, ' ')")} AS k
+      FROM members m JOIN h d ON d.id = m.id JOIN src ON src.id = m.source GROUP BY m.story),
+    met AS (SELECT qid, story, count(*) AS n FROM asked JOIN st ON contains(k, term) GROUP BY qid, story)
+    SELECT qid, story FROM met JOIN (SELECT qid, count(*) AS n FROM asked GROUP BY qid) USING (qid, n)""",
+)
+def k3_search(spark, sf):
+    """Stories by the words of all their headlines and summaries, and by their outlets."""
+    said = members(spark, sf)
+    return search.filter_stories(search.story_words(said, views.sources(spark, sf)), typed_queries(spark, sf))
+
+
 @query(
     "k3_story_filter",
     f"""WITH {HEADLINES}, {LOOSE_SQL}, st AS (SELECT m.story, {base.fold1("any_value(l.title) || ' ' || array_to_string(list_sort(list_distinct(list(m.source))), ' ')")} AS k FROM members m JOIN h l ON l.id = m.story GROUP BY m.story HAVING count(DISTINCT m.source) >= 2) """
