@@ -13,6 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pressloom.functions import dates, urls
 from pressloom.functions import fixed_values as fv
+from pressloom.operators import ingest
+from pressloom.session import cut_lineage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,6 +30,32 @@ def deduplicated(entries: DataFrame, delay: str = f"{fv.WINDOW_DAYS} days") -> D
     return keyed.withWatermark("published", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+def first_on_two_keys(entries: DataFrame, folder: str, order: str, stored: DataFrame | None = None):
+    """Continuous ingest on both keys: an entry is kept if no earlier kept one, and none of ``stored``, has its id or its source and title.
+
+    ``entries``: source, title, url and any columns; inside a batch they come in the order of the column ``order`` (unique), batches in
+    that of their arrival. What a batch keeps is a folder of its own below ``folder``/kept, written anew if the batch is repeated.
+    """
+    spark = entries.sparkSession
+    keyed = ingest.with_keys(entries)
+    target = f"{folder}/kept"
+    known = ingest.with_keys(stored) if stored is not None else spark.createDataFrame([], "id string, title_key string")
+    known.select("id", "title_key").write.mode("overwrite").parquet(f"{target}/batch=-1")
+
+    def step(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema("id string, title_key string, batch long").parquet(target).where(F.col("batch") < number)
+        new = ingest.with_keys(batch).join(before.select("id"), "id", "left_anti").join(before.select("title_key"), "title_key", "left_anti")
+        ingest.drop_repeats(new.select(keyed.columns), order).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return entries.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def kept_on_two_keys(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """What the stream has kept so far, with the number of its batch; ``schema`` is that of the entries."""
+    full = ingest.with_keys(spark.createDataFrame([], schema)).withColumn("batch", F.lit(0).cast("long")).schema
+    return spark.read.schema(full).parquet(f"{folder}/kept").where(F.col("batch") >= 0)
+
+
 def admitted(entries: DataFrame, now: Column | None = None, window_days: int = fv.WINDOW_DAYS) -> DataFrame:
     """Undated and future rows count as now, rows older than the window are dropped; without ``now`` the clock is read per batch.
 
@@ -44,7 +72,7 @@ def coverage_windows(tagged: DataFrame, width: str = "1 hour", slide: str | None
     return (
         tagged.withWatermark("published", delay)
         .groupBy(span.alias("w"), "topic")
-        .agg(F.count(F.lit(1)).alias("headlines"), F.approx_count_distinct("source").alias("outlets"))
+        .agg(F.count(F.lit(1)).alias("headlines"), F.size(F.collect_set("source")).alias("outlets"))  # a set of outlets, as many as there are
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "topic", "headlines", "outlets")
     )
 
@@ -143,27 +171,65 @@ def allowed_requests(requests: DataFrame, per_caller: int = fv.QUOTA_PER_CALLER,
     )
 
 
-def run_alerts(
-    digests: DataFrame, read_subscribers: Callable[[], DataFrame], deliver: Callable[[DataFrame], DataFrame],
-    write_subscribers: Callable[[DataFrame, int], None], now: Callable[[int], Column], checkpoint: str,
-):
-    """Alerts per micro-batch of digests: select, hand over for delivery, merge the receipts into the ledger.
+class AlertLedger:
+    """Subscribers and what each was sent, kept in a folder: a batch adds the rows it changed, and the latest row of a subscriber counts."""
+
+    def __init__(self, subscribers: DataFrame, folder: str):
+        self.spark, self.folder = subscribers.sparkSession, folder
+        first = subscribers.withColumn("gone", F.lit(False))
+        first.write.mode("overwrite").parquet(f"{folder}/batch=-1")
+        self.columns, self.schema = subscribers.columns, first.withColumn("batch", F.lit(0).cast("long")).schema
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The state before a batch, or the latest."""
+        rows = self.spark.read.schema(self.schema).parquet(self.folder)
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        latest = rows.groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]), "batch").alias("row"))
+        return latest.where("not row.gone").select(*[F.col(c) if c == "key" else F.col(f"row.{c}").alias(c) for c in self.columns])
 
-    ``write_subscribers`` gets the batch number and must be idempotent, as a batch can be repeated after a failure.
+    def write(self, touched: DataFrame, after: DataFrame, number: int) -> None:
+        """``touched`` (key): the subscribers a batch sent to or saw first. Those no longer in ``after`` are gone."""
+        rows = touched.select("key").distinct().join(after.withColumn("gone", F.lit(False)), "key", "left").withColumn("gone", F.coalesce("gone", F.lit(True)))
+        rows.select(*self.columns, "gone").write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+
+
+def run_alerts(digests: DataFrame, ledger: AlertLedger, deliver: Callable[[DataFrame], DataFrame], now: Callable[[int], Column], checkpoint: str):
+    """Alerts per micro-batch of digests: select, hand over for delivery, add the receipts to the ledger.
+
+    A batch that is repeated after a failure reads the ledger as it was before the batch and writes the same folder, so it changes nothing;
+    ``deliver`` gets the same alerts again.
     """
     from pressloom.operators import alerts
 
     def step(batch: DataFrame, number: int) -> None:
         at = now(number)
-        subscribers = read_subscribers()
-        chosen = alerts.select(subscribers, batch, at)
-        sent = chosen.select("key", F.posexplode("enviar").alias("pos", "id"))
+        subscribers = cut_lineage(ledger.read(number))
+        chosen = cut_lineage(alerts.select(subscribers, batch, at))
+        receipts = cut_lineage(deliver(chosen.select("key", F.posexplode("enviar").alias("pos", "id"))))
         first = chosen.where("primeira").select("key", "s", "d")
-        write_subscribers(alerts.merge_receipts(subscribers, deliver(sent), first, at), number)
+        ledger.write(receipts.select("key").unionByName(first.select("key")), alerts.merge_receipts(subscribers, receipts, first, at), number)
 
     return digests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def advance(stream: DataFrame, folder: str) -> str | None:
+    """Run an append stream over what is there now; the watermark it reached, behind which rows no longer count."""
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    marks = [p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in p["eventTime"]]
+    return max(marks) if marks else None
+
+
+def too_late(rows: DataFrame, watermark: str | None, width: str) -> DataFrame:
+    """Rows that a run leaves out because their window had closed by the watermark of the run before."""
+    if watermark is None:
+        return rows.limit(0)
+    spans = rows.withColumn("__span", F.window("published", width)).where(F.col("__span.end") <= F.to_timestamp(F.lit(watermark)))
+    return spans.select(rows.columns)
+
+
 def drain(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what is there now and read back what it wrote.
 

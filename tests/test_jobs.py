@@ -238,3 +238,37 @@ def test_local_sessions_without_a_shared_folder_get_one_of_their_own():
     assert shared_folder(session("local[2]", "a")) == shared_folder(session("local[2]", "a")) != shared_folder(session("local[2]", "b"))
     with pytest.raises(RuntimeError):
         shared_folder(session("spark://host:7077", "a"))
+
+
+def test_alert_ledger_over_two_batches_equals_the_batch_job_twice(spark, tmp_path):
+    prefs = "key long, geral boolean, temas array<string>, ufs array<string>, pessoas array<string>, checagens boolean, nivel string, max int, s array<string>, d string, n int"
+    people = [(k, k % 2 == 0, ["alpha"] if k % 3 else [], [], [], False, "importantes", 1 + k % 4, None if k % 5 == 0 else [f"old{k}"], "2024-01-28", 1) for k in range(20)]
+    subscribers = spark.createDataFrame(people, prefs)
+    shape = "pos long, id string, t string, u string, f string, n long, temas array<string>, ufs array<string>, pessoas array<string>, k string, p long"
+    batches = [[(10 * b + i, f"d{b}{i}", "t", f"u{b}{i}", "f", 6 + i, ["alpha"] if i % 2 else [], [], [], "assunto", 100 * b + i) for i in range(6)] for b in range(2)]
+    moments = [dates.moment("2024-01-29 18:30:00"), dates.moment("2024-01-29 19:30:00")]
+    deliver = lambda sent: sent.withColumn("status", F.when(F.col("key") == 7, 410).when(F.col("key") == 8, 500).otherwise(201))
+
+    expected = subscribers
+    for rows, at in zip(batches, moments):
+        chosen = alerts.select(expected, spark.createDataFrame(rows, shape), at)
+        receipts = deliver(chosen.select("key", F.posexplode("enviar").alias("pos", "id")))
+        after = alerts.merge_receipts(expected, receipts, chosen.where("primeira").select("key", "s", "d"), at)
+        expected = spark.createDataFrame(after.select(subscribers.columns).collect(), prefs)
+
+    ledger = jobs.AlertLedger(subscribers, f"{tmp_path}/ledger")
+    stream = spark.readStream.schema(shape).parquet(f"{tmp_path}/in/*")
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/in/{number}")
+        jobs.run_alerts(stream, ledger, deliver, lambda n: moments[n], f"{tmp_path}/checkpoint").awaitTermination()
+    key = lambda rows: sorted((r["key"], r["s"], r["d"], r["n"]) for r in rows)
+    found = ledger.read().collect()
+    assert key(found) == key(expected.collect()) and len(found) == 19 and any(len(r["s"] or []) > 2 for r in found)
+
+    before = ledger.read(1)  # the second batch again
+    chosen = alerts.select(before, spark.createDataFrame(batches[1], shape), moments[1])
+    receipts = deliver(chosen.select("key", F.posexplode("enviar").alias("pos", "id")))
+    first = chosen.where("primeira").select("key", "s", "d")
+    ledger.write(receipts.select("key").unionByName(first.select("key")), alerts.merge_receipts(before, receipts, first, moments[1]), 1)
+    assert key(ledger.read().collect()) == key(found)
+    assert spark.read.parquet(f"{tmp_path}/ledger/batch=1").count() < 20
