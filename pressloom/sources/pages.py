@@ -79,15 +79,39 @@ def description(html: Column) -> Column:
     )
 
 
+def _bodies_in_tree(tree: Column) -> Column:
+    """All ``articleBody`` strings of a parsed JSON value, level by level down to ``MAX_LD_DEPTH``."""
+
+    def children(v: Column) -> Column:
+        members = F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
+        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), members, F.array().cast("array<variant>"))
+
+    def body(v: Column) -> Column:
+        own = F.try_variant_get(v, "$.articleBody", "variant")
+        return F.when(F.schema_of_variant(own) == "STRING", F.try_variant_get(own, "$", "string"))
+
+    def deeper(acc: Column, level: Column) -> Column:
+        found = F.concat(acc["found"], F.array_compact(F.transform(acc["nodes"], body)))
+        return F.struct(F.flatten(F.transform(acc["nodes"], children)).alias("nodes"), found.alias("found"))
+
+    start = F.struct(F.array(tree).alias("nodes"), F.array().cast("array<string>").alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(fv.MAX_LD_DEPTH)), start, deeper, lambda acc: acc["found"])
+
+
+def _body_by_pattern(block: Column) -> Column:
+    """The first ``articleBody`` of a block that is no valid JSON, as for line breaks inside a string."""
+    # a lazy dot instead of a repeated group, which would recurse once per character in the regex engine
+    raw = F.regexp_extract_all(block, F.lit(r'(?s)"articleBody"\s*:\s*"(.*?(?<!\\)(?:\\\\){0,64})"'), F.lit(1))
+    quoted = F.transform(F.slice(raw, 1, 1), lambda b: F.concat(F.lit('["'), F.regexp_replace(F.regexp_replace(b, r"\r?\n", "\\\\n"), "[\\x00-\\x1f]", " "), F.lit('"]')))
+    return F.array_compact(F.transform(quoted, lambda q: F.from_json(q, "array<string>")[0]))
+
+
 def structured_body(html: Column) -> Column:
     """The longest ``articleBody`` of the page's JSON-LD, as clean lines."""
-    blocks = F.array_join(
-        F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"""), F.lit(1)), "\n"
-    )
-    # a lazy dot instead of a repeated group, which would recurse once per character in the regex engine
-    raw = F.regexp_extract_all(blocks, F.lit(r'(?s)"articleBody"\s*:\s*"(.*?(?<!\\)(?:\\\\){0,64})"'), F.lit(1))
-    quoted = F.transform(raw, lambda b: F.concat(F.lit('["'), F.regexp_replace(F.regexp_replace(b, r"\r?\n", "\\\\\\\\n"), "[\\x00-\\x1f]", " "), F.lit('"]')))
-    values = F.filter(F.transform(quoted, lambda q: F.from_json(q, "array<string>")[0]), lambda v: v.isNotNull())
+    blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"""), F.lit(1))
+    named = F.filter(blocks, lambda b: F.contains(b, F.lit("articleBody")))
+    trees = F.transform(named, lambda b: F.struct(b.alias("block"), F.try_parse_json(b).alias("tree")))
+    values = F.flatten(F.transform(trees, lambda t: F.when(t["tree"].isNull(), _body_by_pattern(t["block"])).otherwise(_bodies_in_tree(t["tree"]))))
     longest = F.array_max(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
     lined = F.regexp_replace(F.coalesce(longest, F.lit("")), r"(?i)</(?:p|div|li|h\d)>|<br\s*/?>", "\n")
     lines = F.filter(F.transform(F.split(lined, r"\n+"), lambda x: text.clean(x)), lambda x: x != "")

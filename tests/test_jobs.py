@@ -15,6 +15,7 @@ from pressloom.functions import chain, dates, places, text, urls, verdicts
 from pressloom.operators import alerts, evidence, ingest, operations, place_check, tagging
 from pressloom.operators.leaders import LOOSE, STRICT, first_wins, similar_leaders
 from pressloom.session import shared_folder
+from pressloom.sources import pages as page_source
 from pressloom.sources import store as store_source
 from pressloom.streaming import jobs
 
@@ -272,3 +273,20 @@ def test_alert_ledger_over_two_batches_equals_the_batch_job_twice(spark, tmp_pat
     ledger.write(receipts.select("key").unionByName(first.select("key")), alerts.merge_receipts(before, receipts, first, moments[1]), 1)
     assert key(ledger.read().collect()) == key(found)
     assert spark.read.parquet(f"{tmp_path}/ledger/batch=1").count() < 20
+
+
+def test_article_bodies_in_structured_data(spark):
+    say = lambda word: (word + " words of a body that is long enough to count. ") * 3
+    block = lambda inner: f'<html><script type="application/ld+json">{inner}</script></html>'
+    nested = '{"a":' * 7 + '{"articleBody":"%s"}' % say("deep") + "}" * 7
+    too_deep = '{"a":' * 9 + '{"articleBody":"%s"}' % say("lost") + "}" * 9
+    given = [
+        block('{"@graph":[{"x":1},[{"articleBody":"%s"}],{"articleBody":"short"}]}' % say("graph")),
+        block('{"description":"says \\"articleBody\\": \\"%s\\""}' % say("quoted")),
+        block('{"articleBody":"%s\n%s"}' % (say("raw"), say("break"))),
+        block('{"articleBody":17}') + block('[{"articleBody":"%s"}]' % say("second")),
+        block(nested), block(too_deep), block("{}"), "",
+    ]
+    found = column(spark, given, page_source.structured_body)
+    begins = [f.split(" ")[0] for f in found]
+    assert begins == ["graph", "", "raw", "second", "deep", "", "", ""] and "\nbreak" in found[2]
