@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pressloom.functions import dates, text
 from pressloom.functions import fixed_values as fv
 from pressloom.operators.ranking import top_per_group
+from pressloom.sources import store
 
 
 class GateFailed(RuntimeError):
@@ -223,6 +227,27 @@ def extraction_report(pages: DataFrame, min_chars: int = fv.MIN_FULL_TEXT) -> Da
 _DANGEROUS = r"(?i)^\s*(?:javascript|data|vbscript):"
 
 
+@dataclass(frozen=True)
+class Rules:
+    """What an output must be like: rows, a column of links without dangerous schemes, columns that are never empty, columns that hold JSON."""
+
+    minimum: int = 0
+    link: str | None = None
+    required: tuple[str, ...] = ()
+    json: tuple[str, ...] = ()
+
+    def counts(self) -> dict[str, Column]:
+        """One aggregate for each rule: how often it is broken. A null is empty, and is no JSON."""
+        out = {"rows below minimum": F.greatest(F.lit(self.minimum) - F.count(F.lit(1)), F.lit(0))}
+        if self.link:
+            out["dangerous link"] = F.count_if(F.coalesce(F.col(self.link).rlike(_DANGEROUS), F.lit(False)))
+        for column in self.required:
+            out[f"empty {column}"] = F.count_if(F.coalesce(F.col(column).cast("string"), F.lit("")) == "")
+        for column in self.json:
+            out[f"no JSON in {column}"] = F.count_if(F.try_parse_json(F.col(column)).isNull())
+        return out
+
+
 def quality_problems(outputs: dict[str, DataFrame], minimum: dict[str, int], links: dict[str, str], required: dict[str, list[str]]) -> DataFrame:
     """Problems found in the outputs of a run, as rows (output, rule, n); no rows means it may be published.
 
@@ -231,17 +256,33 @@ def quality_problems(outputs: dict[str, DataFrame], minimum: dict[str, int], lin
     spark = next(iter(outputs.values())).sparkSession
     checks = spark.createDataFrame([], "output string, rule string, n bigint")
     for name, df in outputs.items():
-        rules = [F.struct(F.lit("rows below minimum").alias("rule"), F.greatest(F.lit(minimum.get(name, 0)) - F.count(F.lit(1)), F.lit(0)).alias("n"))]
-        if name in links:
-            rules.append(F.struct(F.lit("dangerous link").alias("rule"), F.count_if(F.col(links[name]).rlike(_DANGEROUS)).alias("n")))
-        for column in required.get(name, []):
-            empty = F.coalesce(F.col(column).cast("string"), F.lit("")) == ""
-            rules.append(F.struct(F.lit(f"empty {column}").alias("rule"), F.count_if(empty).alias("n")))
-        found = df.agg(F.array(*rules).alias("r")).select(F.lit(name).alias("output"), F.explode("r").alias("r")).select("output", "r.rule", "r.n")
+        rules = Rules(minimum.get(name, 0), links.get(name), tuple(required.get(name, ())))
+        counted = F.array(*[F.struct(F.lit(rule).alias("rule"), n.alias("n")) for rule, n in rules.counts().items()])
+        found = df.agg(counted.alias("r")).select(F.lit(name).alias("output"), F.explode("r").alias("r")).select("output", "r.rule", "r.n")
         checks = checks.unionByName(found)
     return checks.where(F.col("n") > 0)
 
 
+def publish_checked(outputs: dict[str, DataFrame], root: str, rules: dict[str, Rules], partition_by: dict[str, str] | None = None) -> dict[str, str]:
+    """Write all outputs and count what breaks the rules while they are written; only if nothing does, readers are pointed to them.
+
+    ``rules`` names the outputs that must be there. No output is read for its check: the counts are observed on the write itself.
+    """
+    problems = [(name, "missing", 1) for name in sorted(rules.keys() - outputs.keys())]
+    versions = {}
+    for name, df in outputs.items() if not problems else ():
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        counts = rules.get(name, Rules()).counts()
+        watched = df.observe(seen, *[n.alias(f"n{i}") for i, n in enumerate(counts.values())])
+        versions[name] = store.write_version(watched, f"{root}/{name}", (partition_by or {}).get(name))
+        problems += [(name, rule, seen.get[f"n{i}"]) for i, rule in enumerate(counts) if seen.get[f"n{i}"]]
+    if problems:
+        raise GateFailed("; ".join(f"{name}: {rule} ({n})" for name, rule, n in problems))
+    for name, version in versions.items():
+        store.point_to(outputs[name].sparkSession, f"{root}/{name}", version)
+    return versions
+
+
 def require_quality(problems: DataFrame) -> None:
     """Raise with the first problems; the table has one row per output and rule at most."""
     found = problems.limit(20).collect()

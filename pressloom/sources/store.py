@@ -67,21 +67,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def write_version(df: DataFrame, root: str, partition_by: str | None = None) -> str:
+    """Write a new version that no reader sees yet."""
+    version = uuid.uuid4().hex
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{root}/v={version}")
+    return version
+
+
+def point_to(spark: SparkSession, root: str, version: str) -> None:
+    """Pointers are never changed or removed: each is written whole under a name of its own, and the last one by name counts."""
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.json(f"{root}/_pointers/{time.time_ns():020d}-{version}")
+
+
 def publish(df: DataFrame, root: str, check=None, partition_by: str | None = None) -> str:
     """Write a new version, check what was written, then move the pointer; readers never see half a state.
 
     ``check`` takes the written rows and raises to keep the previous version.
     """
-    spark = df.sparkSession
-    version = uuid.uuid4().hex
-    target = f"{root}/v={version}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(target)
-    written = spark.read.parquet(target)
+    version = write_version(df, root, partition_by)
     if check is not None:
-        check(written)
-    # pointers are never changed or removed: each is written whole under a name of its own, and the last one by name counts
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.json(f"{root}/_pointers/{time.time_ns():020d}-{version}")
+        check(df.sparkSession.read.parquet(f"{root}/v={version}"))
+    point_to(df.sparkSession, root, version)
     return version
 
 

@@ -290,3 +290,24 @@ def test_article_bodies_in_structured_data(spark):
     found = column(spark, given, page_source.structured_body)
     begins = [f.split(" ")[0] for f in found]
     assert begins == ["graph", "", "raw", "second", "deep", "", "", ""] and "\nbreak" in found[2]
+
+
+def test_every_rule_keeps_the_pointer(spark, tmp_path):
+    """Each rule fails once on the write itself; readers go on seeing the version before."""
+    good = spark.createDataFrame([("a", "https://x.org/a", '{"k":1}'), ("b", None, "[]")], "title string, url string, meta string")
+    rules = {"pages": operations.Rules(2, "url", ("title",), ("meta",)), "hosts": operations.Rules()}
+    hosts = spark.createDataFrame([("x.org", 1)], "host string, n int")
+    root = str(tmp_path)
+    operations.publish_checked({"pages": good, "hosts": hosts}, root, rules, {"hosts": "host"})
+    bad = {
+        "rows below minimum": good.limit(1), "rows": good.where("false"), "dangerous link": good.withColumn("url", F.lit(" JavaScript:alert(1)")), "empty title": good.withColumn("title", F.lit("")),
+        "empty title (2)": good.withColumn("title", F.lit(None).cast("string")), "no JSON in meta": good.withColumn("meta", F.lit("{")), "no JSON in meta (2)": good.withColumn("meta", F.lit(None).cast("string")),
+    }
+    for rule, pages in bad.items():
+        with pytest.raises(operations.GateFailed, match=rule.replace("(", "\\(").replace(")", "\\)")):
+            operations.publish_checked({"pages": pages, "hosts": hosts}, root, rules)
+    with pytest.raises(operations.GateFailed, match="hosts: missing"):
+        operations.publish_checked({"pages": good}, root, rules)
+    assert sorted(r["title"] for r in store_source.current(spark, f"{root}/pages").collect()) == ["a", "b"]
+    operations.publish_checked({"pages": good.withColumn("title", F.upper("title")), "hosts": hosts}, root, rules)
+    assert sorted(r["title"] for r in store_source.current(spark, f"{root}/pages").collect()) == ["A", "B"]
