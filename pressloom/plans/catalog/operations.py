@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pressloom.functions import fixed_values as fv
 from pressloom.functions import places, text, urls
 from pressloom.operators import ingest, operations, place_check
 from pressloom.plans import views
@@ -369,21 +370,46 @@ def x6(spark, sf):
     return d.select("doc_id", places.place_key(F.concat(F.translate("text", "\n", " "), suffix)).alias("k"))
 
 
-@query("x7_place_mentions", f"""WITH {CLAIMS}, t AS (SELECT qid, upper(substr(w, 1, 1)) || substr(w, 2) AS nm FROM (SELECT qid, regexp_extract({base.fold2('text')}, '[a-z]{{5,}}') AS w FROM clm)) SELECT qid, CASE WHEN nm = '' THEN '' ELSE nm || '|Porto ' || nm END AS names FROM t""")
-def x7(spark, sf):
-    c = claims(spark, sf).withColumn("w", F.regexp_extract(text.fold_retrieval(F.col("text")), "[a-z]{5,}", 0))
+def _norm_sql(x):
+    return f"trim(regexp_replace({base.fold2(x)}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+_MENTION_SQL = places._MENTION.replace("'", "''")
+
+
+def cited(spark, sf):
+    """Whole claim texts; by number, some cite places behind their own words or before them."""
+    c = claims(spark, sf).withColumn("w", F.regexp_extract(text.fold_retrieval(F.col("text")), "[a-z]{5,}", 0)).where("w != ''")
     name = F.initcap("w")
-    t = F.concat(F.lit("ontem o prefeito de "), name, F.lit(", a prefeitura de "), F.upper(name), F.lit(". e o vereador de Porto "), name, F.lit(" disseram"))
-    return c.select("qid", F.when(F.col("w") == "", "").otherwise(F.array_join(places.mentions(t), "|")).alias("names"))
+    three = F.concat(F.col("text"), F.lit(". Ontem o prefeito de "), name, F.lit(", a prefeitura de "), F.upper(name), F.lit(". e o vereador de Porto "), name, F.lit(" disseram"))
+    one = F.concat(F.lit("A cidade do "), name, F.lit(", "), F.col("text"))
+    return c.select("qid", "k", "w", F.when(F.col("k") % 3 == 0, three).when(F.col("k") % 3 == 1, one).otherwise(F.col("text")).alias("text"))
+
+
+_CITED = f"""{CLAIMS}, nm AS (SELECT qid, k, text, w, upper(substr(w, 1, 1)) || substr(w, 2) AS nm FROM (SELECT *, regexp_extract({base.fold2('text')}, '[a-z]{{5,}}') AS w FROM clm) WHERE w <> ''),
+    cited AS MATERIALIZED (SELECT qid, k, w, CASE k % 3 WHEN 0 THEN text || '. Ontem o prefeito de ' || nm || ', a prefeitura de ' || upper(nm) || '. e o vereador de Porto ' || nm || ' disseram' WHEN 1 THEN 'A cidade do ' || nm || ', ' || text ELSE text END AS text FROM nm)"""
 
 
-@query("x8_municipal_context", f"""WITH {CLAIMS}, t AS (SELECT qid, k, regexp_extract({base.fold2('text')}, '[a-z]{{5,}}') AS w FROM clm) SELECT qid, w <> '' AND k % 3 <> 2 AS context, w <> '' AS present FROM t""")
+@query(
+    "x7_place_mentions",
+    rf"""WITH {_CITED}, m AS (SELECT qid, list_transform(regexp_extract_all(text, '{_MENTION_SQL}', 1), lambda x: trim(regexp_replace(x, '[.''’-]+$', ''))) AS names FROM cited),
+    k AS (SELECT qid, names, list_transform(names, lambda x: {_norm_sql('x')}) AS keys FROM m),
+    kept AS (SELECT qid, list_filter(list_transform(range(1, len(keys) + 1), lambda i: CASE WHEN keys[i] <> '' AND list_position(keys, keys[i]) = i THEN names[i] END), lambda x: x IS NOT NULL)[:3] AS names FROM k)
+    SELECT qid, array_to_string(names, '|') AS names FROM kept""",
+)
+def x7(spark, sf):
+    return cited(spark, sf).select("qid", F.array_join(places.mentions(F.col("text")), "|").alias("names"))
+
+
+@query(
+    "x8_municipal_context",
+    rf"""WITH {_CITED}, t AS (SELECT qid, ' ' || {_norm_sql('text')} || ' ' AS t, ' ' || w || ' ' AS n FROM cited), p AS (SELECT *, instr(t, n) - 1 AS at_ FROM t),
+    a AS (SELECT *, substr(t, greatest(at_ - 60, 0) + 1, at_ + length(n) + 40 - greatest(at_ - 60, 0)) AS around FROM p)
+    SELECT qid, at_ >= 0 AND regexp_matches(around, '{fv.MUNICIPAL_CONTEXT}') AS context, at_ >= 0 AS present FROM a""",
+)
 def x8(spark, sf):
-    c = claims(spark, sf).withColumn("w", F.regexp_extract(text.fold_retrieval(F.col("text")), "[a-z]{5,}", 0))
-    far = F.repeat(F.lit("xyz "), 40)
-    t = F.when(F.col("k") % 3 == 0, F.concat(F.lit("A prefeita de "), "w")).when(F.col("k") % 3 == 1, F.concat("w", F.lit(", na câmara municipal"))).otherwise(F.concat(F.lit("cidade "), far, "w"))
-    known = F.col("w") != ""
-    return c.select("qid", (known & places.has_municipal_context(t, F.col("w"))).alias("context"), (known & places.appears(t, F.col("w"))).alias("present"))
+    t, name = F.col("text"), F.col("w")
+    return cited(spark, sf).select("qid", places.has_municipal_context(t, name).alias("context"), places.appears(t, name).alias("present"))
 
 
 @query(
