@@ -138,12 +138,6 @@ def similar_pairs(sigs: DataFrame, rule: Similarity) -> DataFrame:
     return once.unionByName(_mirrored(once)).unionByName(_self_pairs(sigs))
 
 
-def similar_to(leaders: DataFrame, sigs: DataFrame, rule: Similarity) -> DataFrame:
-    """(leader signature, similar signature) pairs; only leaders are compared, so look-alikes never meet each other."""
-    ahead = cut_lineage(_directed(leaders, sigs, rule).unionByName(_mirrored(_directed(sigs, leaders, rule))))
-    return ahead.unionByName(_self_pairs(leaders))
-
-
 def _meets(rule: Similarity) -> Column:
     test = F.col("shared") >= rule.min_shared
     if rule.jaccard:
