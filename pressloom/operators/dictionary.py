@@ -2,7 +2,7 @@
 
 A dictionary is rows (key, term, ord), and its size is nowhere in the plan. Every place of a text where a word starts is a row with the
 characters that follow; it meets the terms by an equi join on the first ``KEY`` characters (all of a shorter term), and the whole term
-is compared afterwards. Which dictionary a channel uses is decided by rows too: its own, where it has one of that kind, else the common one.
+is compared afterwards. The terms are written first, so that Spark knows their size: while they are few, no word start is shuffled. Which dictionary a channel uses is decided by rows too: its own, where it has one of that kind, else the common one.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions import text
+from pressloom.session import cut_lineage
 
 #: Characters by which terms and texts meet.
 KEY = 8
@@ -34,7 +35,7 @@ def hits(df: DataFrame, row_id: str, value: Column, terms: DataFrame, edge: str,
     A term starts where no character of the class ``edge`` stands before it; if ``whole``, it also ends where none follows. Terms start
     with a character of that class; null and empty terms match nothing.
     """
-    known = terms.where(F.length("term") > 0).withColumn("__key", F.substring("term", 1, KEY))
+    known = cut_lineage(terms.where(F.length("term") > 0).withColumn("__key", F.substring("term", 1, KEY)))
     lengths, longest = known.agg(F.array_sort(F.collect_set(F.length("__key"))), F.max(F.length("term"))).first()  # at most KEY numbers
     starts = F.regexp_extract_all(value, F.lit(rf"(?s)(?<![{edge}])(?=([{edge}].{{0,{longest or 0}}}))"), F.lit(1))
     places = df.select(F.col(row_id).alias("id"), F.posexplode(starts).alias("place", "__ahead"))

@@ -85,3 +85,12 @@ def test_empty_tables(spark):
     none = table(spark, [])
     assert [r["keys"] for r in dictionary.keys_named(docs(spark), "n", F.col("t"), none).collect()] == [[]] * len(TEXTS)
     assert dictionary.words_used(docs(spark, []), "n", F.col("t"), none).count() == 0
+
+
+def test_few_terms_shuffle_no_word_starts(spark):
+    """The terms come from Python rows, whose size Spark does not know; the word starts must stay where they are all the same."""
+    listed = table(spark, [("lei", "penal", 0), ("fora", "eua", 1), ("none", None, 2)])
+    found = dictionary.hits(docs(spark), "n", dictionary.plain(F.col("t")), dictionary.folded_terms(listed), dictionary.WORD, whole=False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(__key" not in plan
+    assert {(r.id, r.term) for r in found.collect()} == {(1, "eua"), (2, "eua"), (7, "penal"), (7, "penal")}
