@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
@@ -311,3 +312,21 @@ def test_every_rule_keeps_the_pointer(spark, tmp_path):
     assert sorted(r["title"] for r in store_source.current(spark, f"{root}/pages").collect()) == ["a", "b"]
     operations.publish_checked({"pages": good.withColumn("title", F.upper("title")), "hosts": hosts}, root, rules)
     assert sorted(r["title"] for r in store_source.current(spark, f"{root}/pages").collect()) == ["A", "B"]
+
+
+def test_ledgers_are_not_broadcast(spark, tmp_path):
+    """The subscribers' file is small, their ledgers together are not; ids already sent are left out all the same."""
+    ledger = F.transform(F.sequence(F.lit(0), (F.col("id") % 50).cast("int")), lambda i: F.concat(F.lit("a"), i.cast("string")))
+    spark.range(200).repartition(1).write.parquet(f"{tmp_path}/keys")
+    none = F.array().cast("array<string>")
+    subscribers = spark.read.parquet(f"{tmp_path}/keys").select(
+        F.col("id").alias("key"), F.lit(True).alias("geral"), none.alias("temas"), none.alias("ufs"), none.alias("pessoas"), F.lit(False).alias("checagens"),
+        F.lit("importantes").alias("nivel"), F.lit(5).alias("max"), ledger.alias("s"), F.lit("2024-01-01").alias("d"), F.lit(0).alias("n"),
+    )
+    shape = "pos int, id string, u string, f string, n int, temas array<string>, ufs array<string>, pessoas array<string>, k string, p long"
+    digests = spark.createDataFrame([(i, f"a{i}", f"u{i}", "f", 9, [], [], [], "assunto", i) for i in range(60)], shape)
+    chosen = alerts.select(subscribers, digests, F.to_timestamp(F.lit("2024-01-29 18:30:00")))
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Broadcast\w+Join[^\n]*LeftAnti", plan)
+    got = {r.key: r.enviar for r in chosen.collect()}
+    assert len(got) == 200 and got[0] == ["a59", "a58"] and all(not set(v) & {f"a{i}" for i in range(k % 50 + 1)} for k, v in got.items())
