@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -13,9 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressloom.functions import chain, dates, places, text, urls, verdicts
-from pressloom.operators import alerts, evidence, ingest, operations, place_check, tagging
-from pressloom.operators.leaders import LOOSE, STRICT, first_wins, similar_leaders
-from pressloom.session import shared_folder
+from pressloom.operators import alerts, evidence, ingest, leaders, operations, place_check, tagging
+from pressloom.operators.leaders import LOOSE, STRICT, Similarity, first_wins, similar_leaders
+from pressloom.session import cut_lineage, shared_folder
 from pressloom.sources import pages as page_source
 from pressloom.sources import store as store_source
 from pressloom.streaming import jobs
@@ -54,6 +55,34 @@ def test_leaders_do_not_depend_on_the_partitions(spark, rule):
     assert all(whole[leader] == leader for leader in whole.values())
 
 
+@pytest.mark.parametrize("frequent", [0, 8])
+@pytest.mark.parametrize("rule", [LOOSE, STRICT, Similarity(min_shared=2), Similarity(min_shared=1, jaccard=None, weight_share=0.4)])
+def test_pairs_with_frequent_tokens_alone_in_common_are_found_once(spark, monkeypatch, rule, frequent):
+    monkeypatch.setattr(leaders, "FREQUENT", frequent)
+    rng = random.Random(11)
+    vocabulary = [f"word{i}" for i in range(30)]
+    sets = list({tuple(sorted(rng.choices(vocabulary, [1 / (i + 1) for i in range(30)], k=rng.randint(3, 14)))) for _ in range(70)})
+    sets = [s for s in {tuple(dict.fromkeys(s)) for s in sets} if len(s) >= rule.min_shared]
+    items = spark.createDataFrame([(" ".join(s), list(s)) for s in sets], "sig string, tokens array<string>")
+    df = Counter(t for s in sets for t in s)
+    weight = {t: math.log(max(len(sets), 2) / n) for t, n in df.items()}
+    expected = set()
+    for a in sets:
+        for b in sets:
+            common = set(a) & set(b)
+            alike = len(common) >= rule.min_shared
+            alike = alike and (not rule.jaccard or len(common) / len({*a, *b}) >= rule.jaccard)
+            smaller = min(sum(weight[t] for t in s) for s in (a, b))
+            alike = alike and (not rule.weight_share or sum(weight[t] for t in common) >= rule.weight_share * smaller - 1e-9)
+            if a == b or alike:
+                expected.add((" ".join(a), " ".join(b)))
+    sigs = cut_lineage(leaders.signatures(items, rule))
+    found = [(r.sig, r.other) for r in leaders.similar_pairs(sigs, rule).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    if frequent == 0:
+        assert leaders._at_one_token(sigs, rule).isEmpty() and len(expected) > len(sets)
+
+
 def test_headlines_of_one_event_meet(spark):
     titles = ["Senado aprova reforma tributaria depois longo debate", "Reforma tributaria aprovada: Senado aprova texto depois debate", "Time vence classico com gol aos noventa minutos"]
     df = spark.createDataFrame([(str(i), datetime(2024, 1, 1, 12, 9 - i), t) for i, t in enumerate(titles)], "id string, ts timestamp, title string")
