@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pressloom.functions import chain, dates, places, text, urls, verdicts
 from pressloom.operators import alerts, evidence, ingest, leaders, operations, place_check, tagging
 from pressloom.operators.leaders import LOOSE, STRICT, Similarity, first_wins, similar_leaders
+from pressloom.plans.catalog import coverage as coverage_catalog
 from pressloom.session import cut_lineage, shared_folder
 from pressloom.sources import pages as page_source
 from pressloom.sources import store as store_source
@@ -83,6 +84,27 @@ def test_pairs_with_frequent_tokens_alone_in_common_are_found_once(spark, monkey
         assert leaders._at_one_token(sigs, rule).isEmpty() and len(expected) > len(sets)
 
 
+
+def test_the_overlay_groups_the_headlines_once(spark, monkeypatch):
+    start = datetime(2024, 1, 29)
+    rows = [(f"{i:03d}", f"Senado aprova reforma tributaria depois debate {i % 3}", f"src{i % 4}", start - timedelta(minutes=i)) for i in range(12)]
+    h = spark.createDataFrame(rows, "id string, title string, source string, published timestamp").withColumn("url", F.col("id"))
+    names = spark.createDataFrame([(f"src{i}", f"Outlet {i}") for i in range(4)], "id string, name string")
+    grouped = []
+
+    def links(spark, sf):
+        grouped.append(sf)
+        return h, h.select("id", F.lit("000").alias("leader"))
+
+    monkeypatch.setattr(coverage_catalog, "loose_links", links)
+    monkeypatch.setattr(coverage_catalog, "named_headlines", lambda spark, sf: h)
+    monkeypatch.setattr(coverage_catalog, "external_grouping", lambda spark, sf: h)
+    monkeypatch.setattr(coverage_catalog.views, "sources", lambda spark, sf: names)
+    monkeypatch.setattr(coverage_catalog.coverage, "external_stories", lambda *a, **k: spark.createDataFrame([], "pos int, n bigint, lead_id string, lead_published timestamp"))
+    monkeypatch.setattr(coverage_catalog.coverage, "external_members", lambda *a, **k: spark.createDataFrame([], "pos int, id string"))
+    assert [tuple(r) for r in coverage_catalog.j22(spark, "none").collect()] == [("words", "000", 4)] and grouped == ["none"]
+
+
 def test_headlines_of_one_event_meet(spark):
     titles = ["Senado aprova reforma tributaria depois longo debate", "Reforma tributaria aprovada: Senado aprova texto depois debate", "Time vence classico com gol aos noventa minutos"]
     df = spark.createDataFrame([(str(i), datetime(2024, 1, 1, 12, 9 - i), t) for i, t in enumerate(titles)], "id string, ts timestamp, title string")
