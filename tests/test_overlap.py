@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from pressloom.operators import overlap, retrieval
+from pressloom.operators import evidence, overlap, retrieval
 
 #: A few words stand in nearly every set.
 WORDS = [f"word{i:02d}" for i in range(40)]
@@ -101,3 +101,19 @@ def test_claims_and_articles_against_a_scan(spark, blocks):
             ranked += sorted(hits)[:1]
         others |= {(r[0], i, -s, n + 1) for n, (s, _, i) in enumerate(sorted(ranked)[:4])} if len(mine) >= 3 else set()
     assert {tuple(r) for r in told.select("article", "id", "shared", "place").collect()} == others and len(others) > 100
+
+
+def test_equal_queries_and_long_descriptions(spark):
+    queries = spark.createDataFrame([("a", ["x1", "x2"]), ("a", ["x2", "x1"]), ("b", ["x1", "x2"]), (None, ["x1"]), ("c", [])], "qid string, terms array<string>")
+    index = spark.createDataFrame([("d", ["x1", "x2", "x3"]), ("e", ["x3"])], "did string, terms array<string>")
+    found = Counter(tuple(r) for r in retrieval.find(queries, index, F.lit(2)).collect())
+    assert found == {("a", "d", 2): 4, ("b", "d", 2): 1}
+
+
+def test_descriptions_are_squeezed_once(spark):
+    said = " ".join(f"palavra{i}" for i in range(9))
+    rows = [("q", 0, "Outra coisa", f" {said}\n"), ("q", 1, "Outra coisa", said.upper()), ("q", 2, "Outra coisa", None), ("q", 3, said, said), ("q", 4, None, said + " mais"), ("r", 0, "t", said)]
+    found = evidence.useful_descriptions(spark.createDataFrame(rows, "qid string, pos int, title string, value string"))
+    assert {tuple(r) for r in found.select("qid", "pos", "value").collect()} == {("q", 0, said), ("q", 4, said + " mais"), ("r", 0, said)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)\s+") == 1
