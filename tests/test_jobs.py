@@ -381,3 +381,16 @@ def test_ledgers_are_not_broadcast(spark, tmp_path):
     assert not re.search(r"Broadcast\w+Join[^\n]*LeftAnti", plan)
     got = {r.key: r.enviar for r in chosen.collect()}
     assert len(got) == 200 and got[0] == ["a59", "a58"] and all(not set(v) & {f"a{i}" for i in range(k % 50 + 1)} for k, v in got.items())
+
+
+@pytest.mark.parametrize("name", ["st1_streaming_dedup", "st2_streaming_admission", "st3_coverage_bursts", "st3_coverage_windows"])
+def test_streams_read_tables_of_one_file_or_many(spark, tmp_path, name):
+    from pressloom.plans.catalog.base import QUERIES
+
+    rows = spark.range(40).selectExpr("id AS doc_id", "concat('Title ', id) AS text", "'en' AS lang", "concat('src', id % 3) AS source", "id * 40 AS n_chars")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    found = [sorted(map(tuple, QUERIES[name](spark, str(tmp_path / folder)).collect())) for folder in ("one", "many")]
+    assert found[0] and found[0] == found[1]
