@@ -117,3 +117,43 @@ def test_descriptions_are_squeezed_once(spark):
     assert {tuple(r) for r in found.select("qid", "pos", "value").collect()} == {("q", 0, said), ("q", 4, said + " mais"), ("r", 0, said)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"(?U)\s+") == 1
+
+
+def above_the_cells(df):
+    """The steps that the pairs still go through when they have left the cells."""
+    return df._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
+def test_pairs_leave_the_cells_whole(spark, blocks):
+    rng = random.Random(6)
+    start = datetime(2024, 1, 1)
+    held = sets(120, 7)
+    kinds = ["É falso que ", "É verdade, mas ", "É verdade que não ", "Fato ou Fake: ", ""]
+    titles = [None if i == 5 else kinds[i % 5] + " ".join(w) for i, w in enumerate(held)]
+    rows = [(f"i{i:03d}", t, f"https://o{i % 5}.org/{i}", "o", "noticia" if i % 9 == 0 else "checagem", start + timedelta(hours=rng.randint(0, 30))) for i, t in enumerate(titles)]
+    index = spark.createDataFrame(rows + rows[:2], "id string, title string, url string, source string, kind string, published timestamp")
+    asked = [(f"q{i}", w, i % 3 == 0) for i, w in enumerate(sets(40, 8))]
+    asked += [("q1", asked[1][1], True), (None, held[0], False)]
+    claims = spark.createDataFrame(asked, "qid string, terms array<string>, negado boolean")
+    terms = {r[0]: set(r[1].split()) & set(WORDS) if r[1] else set() for r in rows}
+    every = Counter(r[0] for r in rows + rows[:2])
+    expected, checked = Counter(), Counter()
+    for qid, w, _ in asked:
+        times = sum(a[0] == qid for a in asked)
+        for r in rows if qid else []:
+            shared = len(set(w) & terms[r[0]])
+            if shared >= 2:
+                expected[qid, r[0], shared] += times * every[r[0]]
+            if w and shared >= min(3, len(w)) and r[4] == "checagem":
+                verdict = {0: ("falso", [False]), 1: ("misto", [False, True]), 2: ("verdadeiro", [True])}.get(int(r[0][1:]) % 5)
+                for a in asked:
+                    if a[0] == qid:
+                        checked[qid, r[0], shared, verdict[0] if verdict and a[2] in verdict[1] else ""] += times * every[r[0]]
+    matches = retrieval.title_matches(claims, index, F.lit(2))
+    assert Counter(tuple(r) for r in matches.select("qid", "id", "shared").collect()) == expected and len(expected) > 500
+    found = retrieval.index_checks(claims, index, ("id",))
+    assert Counter(tuple(r) for r in found.select("qid", "id", "shared", "classe").collect()) == checked and len(checked) > 300
+    assert "Join" not in above_the_cells(matches) and "Join" not in above_the_cells(found)
+    few = retrieval.title_matches(claims, index, F.lit(2), limit=3)
+    first = lambda df: Counter(tuple(r) for r in retrieval.top_per_group(df, ["qid"], retrieval.best_order(), 3, rank="place").collect())
+    assert first(few) == first(matches) and few.count() < matches.count()
