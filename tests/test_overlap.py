@@ -157,3 +157,54 @@ def test_pairs_leave_the_cells_whole(spark, blocks):
     few = retrieval.title_matches(claims, index, F.lit(2), limit=3)
     first = lambda df: Counter(tuple(r) for r in retrieval.top_per_group(df, ["qid"], retrieval.best_order(), 3, rank="place").collect())
     assert first(few) == first(matches) and few.count() < matches.count()
+
+
+def test_delivered_and_merged_checks_against_every_row(spark, blocks):
+    rng = random.Random(9)
+    start = datetime(2024, 1, 1)
+    labels = ["Falso", "Verdadeiro", "Enganoso", "?", "", None]
+    classes = {"Falso": "falso", "Verdadeiro": "verdadeiro", "Enganoso": "enganoso"}
+    leads = {"É falso que ": "falso", "É verdade, mas ": "misto", "Fato ou Fake: ": ""}
+    asked = [(f"q{i}", w, i % 2 == 0) for i, w in enumerate(sets(30, 10))]
+    claims = spark.createDataFrame(asked, "qid string, terms array<string>, negado boolean")
+    held = [(f"i{i:03d}", [*leads][i % 3], w, f"https://o{i % 5}.org/{i // 2 * 2}{'/' * (i % 2)}", start + timedelta(hours=i)) for i, w in enumerate(sets(100, 11))]
+    index = spark.createDataFrame([(i, lead + " ".join(w), u, "s", "checagem", t) for i, lead, w, u, t in held], "id string, title string, url string, source string, kind string, published timestamp")
+    results, said = [], sets(40, 12)
+    for qid, w, _ in asked:
+        for rid in rng.sample(range(100), 45):
+            own = rng.choice([" ".join(w[1:]), "não " + " ".join(w), "", None])
+            results.append((qid, rid, own, rng.choice([None, "nunca " + " ".join(said[rid % 40])]), rng.choice(labels), held[rid][3] if rid % 9 else "ftp://x", None, "p"))
+    delivered = spark.createDataFrame(results, "qid string, rid long, claim_text string, review_title string, rating string, url string, published timestamp, publisher string")
+
+    def guarded(kind, denies, negado):
+        return "" if kind in ("falso", "verdadeiro") and denies != negado else kind
+
+    kept = Counter()
+    lists = {qid: [] for qid, _, _ in asked}
+    by_claim = {qid: (set(w), negado) for qid, w, negado in asked}
+    for qid, rid, own, title, rating, url, _, _ in results:
+        terms, negado = by_claim[qid]
+        shared = len(terms & set(f"{own or ''} {title or ''}".split()))
+        if url != "ftp://x" and shared >= min(2, len(terms)):
+            about = (own or title or "").split()
+            kind = guarded(classes.get(rating, ""), "não" in about or "nunca" in about, negado)
+            kept[qid, rid, shared, kind] += 1
+            lists[qid].append((0, rid, url.rstrip("/"), kind, shared))
+    found = retrieval.delivered_checks(claims, delivered)
+    assert found.columns == [*delivered.columns, "shared", "classe"]
+    assert Counter(tuple(r) for r in found.select("qid", "rid", "shared", "classe").collect()) == kept and len(kept) > 300
+    for qid, w, negado in asked:
+        for _, lead, words, url, published in held:
+            shared = len(set(w) & set(words))
+            if w and shared >= min(3, len(w)):
+                lists[qid].append((1, -int((published - datetime(1970, 1, 1)).total_seconds()), url.rstrip("/"), guarded(leads[lead], False, negado), shared))
+    expected = set()
+    for qid, rows in lists.items():
+        links = {}
+        for row in sorted(rows):
+            links.setdefault(row[2], row)
+        best_of = sorted(links.values(), key=lambda r: (r[3] == "", -r[4], r[0], r[1]))[:5]
+        expected |= {(qid, link, kind, shared, place + 1) for place, (_, _, link, kind, shared) in enumerate(best_of)}
+    for ahead in (1, None):  # of one link a claim the first round settles few
+        merged = retrieval.merged_checks(claims, index, delivered, ahead=ahead).select("qid", F.regexp_replace("url", "/$", ""), "classe", "shared", "place")
+        assert sorted(tuple(r) for r in merged.collect()) == sorted(expected) and len(expected) > 100
